@@ -17,7 +17,29 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_exact_dedup": op4_exact_dedup}
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), _tokenizer())
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_store import write_store
+
+    return write_store(_read(spark, sf_dir, "documents"), _tokenizer()).documents()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_store": op7_token_store,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
