@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Used only where the session names no folder (tests on one machine).
 LOCAL_DEFAULT = "/tmp/checkpoints/tidemark"
@@ -59,3 +59,20 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def texts_utf8(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; a null text is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Keys with more than max(HOT_ROWS, rows / HOT_KEYS) rows are joined by broadcast, so at most HOT_KEYS rows are broadcast.
+HOT_ROWS, HOT_KEYS = 200, 5000
+
+
+def join_sized(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Left join of ``rows`` with ``facts`` (unique in ``key``), whose column ``size`` is the number of rows with that key.
+
+    The keys with the most rows are looked up in a broadcast table of at most HOT_KEYS rows, the others by a shuffle.
+    """
+    hot = F.col(size) > max(HOT_ROWS, total // HOT_KEYS)
+    large = facts.filter(hot).withColumn("__hot", F.lit(True))
+    first = rows.join(F.broadcast(large), key, "left")
+    names = [c for c in first.columns if c != "__hot"]
+    rest = first.filter("__hot is null").select(*rows.columns).join(facts.filter(~hot), key, "left")
+    return first.filter("__hot").select(*names).unionByName(rest.select(*names))
