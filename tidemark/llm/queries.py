@@ -41,6 +41,12 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_store(_read(spark, sf_dir, "documents"), _tokenizer()).documents()
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_order
+
+    return mixed_order(_read(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_repeats
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
+    "op8_source_mixing": op8_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
@@ -61,4 +68,44 @@ ORACLE_SQL: dict[str, str] = {
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
         SELECT d.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256
         FROM d JOIN g ON d.norm = g.norm""",
+    "op8_source_mixing": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) AS n_tokens,
+                   CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS u
+            FROM documents),
+        b AS (SELECT source, u >> 50 AS block, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY 1, 2),
+        t AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY 1 HAVING sum(tokens) > 0),
+        q AS (SELECT source, tokens, CAST(tokens AS DOUBLE) / (SELECT CAST(sum(tokens) AS DOUBLE) FROM t) AS q FROM t),
+        c AS (SELECT CAST(sum(tokens) AS DOUBLE) AS budget, 0.95 * ln(CAST(count(*) AS DOUBLE)) AS entropy FROM t),
+        e(lo, hi) AS (
+            SELECT 0, 1048577
+            UNION ALL
+            SELECT CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+            FROM (SELECT lo, hi, (lo + hi) // 2 AS mid,
+                         (SELECT ln(sum(pow(q, ((lo + hi) // 2) / 1048576.0))) - sum(pow(q, ((lo + hi) // 2) / 1048576.0) * ln(pow(q, ((lo + hi) // 2) / 1048576.0))) / sum(pow(q, ((lo + hi) // 2) / 1048576.0)) FROM q)
+                         >= (SELECT entropy FROM c) - 1e-12 AS ok FROM e) WHERE hi - lo > 1),
+        r(lo, hi) AS (
+            SELECT -1, 1048576
+            UNION ALL
+            SELECT CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END
+            FROM (SELECT lo, hi, (lo + hi) // 2 AS mid,
+                         (SELECT max(pow(q, ((lo + hi) // 2) / 1048576.0) / tokens) / sum(pow(q, ((lo + hi) // 2) / 1048576.0)) FROM q)
+                         * (SELECT budget FROM c) <= 4.0 + 1e-12 AS ok FROM r) WHERE hi - lo > 1),
+        k AS (SELECT greatest((SELECT max(lo) FROM e), (SELECT min(hi) FROM r)) AS k),
+        w AS (SELECT source, tokens, CAST(floor(pow(q, (SELECT k FROM k) / 1048576.0) / (SELECT sum(pow(q, (SELECT k FROM k) / 1048576.0)) FROM q) * (SELECT budget FROM c)) AS BIGINT) AS budget FROM q),
+        s AS (SELECT source, budget // tokens AS epochs, budget % tokens AS rest FROM w),
+        p AS (
+            SELECT b.source, b.block, b.tokens, s.epochs,
+                   s.rest - coalesce(sum(b.tokens) OVER (PARTITION BY b.source ORDER BY CAST('0x' || substr(md5('17:' || s.epochs || ':' || coalesce(b.source, '') || ':' || b.block), 1, 15) AS BIGINT), b.block
+                                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+            FROM b JOIN s ON b.source IS NOT DISTINCT FROM s.source),
+        x AS (
+            SELECT d.doc_id, d.source, d.n_tokens, d.u, p.block, p.epochs, p.room, p.tokens,
+                   sum(d.n_tokens) OVER (PARTITION BY d.source, p.block ORDER BY d.u) AS upto
+            FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND (d.u >> 50) = p.block),
+        y AS (SELECT *, epochs + CASE WHEN room >= tokens OR (room > 0 AND upto <= room) THEN 1 ELSE 0 END AS times FROM x),
+        z AS (SELECT *, unnest(range(times)) AS epoch FROM y WHERE times > 0)
+        SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS BIGINT) AS block,
+               CAST('0x' || substr(md5('17:' || epoch || ':' || coalesce(source, '') || ':' || block), 1, 15) AS BIGINT) AS block_order
+        FROM z""",
 }
