@@ -7,8 +7,9 @@ executors and the driver see it, so a lost executor costs a re-read, not a recom
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -48,17 +49,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
-
-
-def texts_utf8(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; a null text is empty."""
-    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that Python objects of only so many texts live at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 #: Keys with more than max(HOT_ROWS, rows / HOT_KEYS) rows are joined by broadcast, so at most HOT_KEYS rows are broadcast.
@@ -76,3 +71,24 @@ def join_sized(rows: DataFrame, facts: DataFrame, key: str, size: str, total: in
     names = [c for c in first.columns if c != "__hot"]
     rest = first.filter("__hot is null").select(*rows.columns).join(facts.filter(~hot), key, "left")
     return first.filter("__hot").select(*names).unionByName(rest.select(*names))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for data in b.column(0).to_pylist():
+            own = np.frombuffer(data, np.float64)
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+
+def tree_sum(parts: DataFrame, work: Work, name: str, fan_in: int = 16) -> np.ndarray | None:
+    """Sum of float64 vectors, one binary row for each task that had rows; the driver gets ``fan_in`` rows at most."""
+    level, n = work.save(parts, f"{name}0"), 0
+    count = level.count()
+    while count > fan_in:
+        n, count = n + 1, -(-count // fan_in)
+        level = work.save(level.repartition(count).mapInArrow(_summed, "sums binary"), f"{name}{n}")
+    rows = [np.frombuffer(r[0], np.float64) for r in level.collect()]
+    return sum(rows[1:], rows[0].copy()) if rows else None
