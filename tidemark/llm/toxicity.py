@@ -8,8 +8,8 @@ finds anything. Every voter says toxic, or clean, or nothing.
 
 The label model is a two-class latent variable model, fitted by expectation-maximisation to the votes of all documents (equal vote
 patterns are counted first). Voters are not independent given the class: after a first fit, the correlations of their votes
-within each class are measured, and a second fit weighs a voter's evidence by 1 / (1 + sum of its squared correlations), so that voters
-that repeat one another count once together. Posterior labels, with the known label of a learning row as one more voter, are the targets
+within each class are measured, and a second fit weighs a voter's evidence by 1 / (1 + sum of its squared positive correlations), so
+that voters that repeat one another count once together. The fit starts from the learning rows alone. Posterior labels, with the known label of a learning row as one more voter, are the targets
 of a logistic regression on the stems' and voters' hits, fitted by Newton steps on a bounded sample.
 
 Bounds: ``SAMPLE`` learning rows (by hash of doc_id) for mining, ``SAMPLE`` of them and as many other documents for the regression,
@@ -190,7 +190,7 @@ class LabelModel:
                 mean = (counts[:, 2] - counts[:, 0]) / own[0]
                 covariance = own[1 + 3 * n :].reshape(n, n) / own[0] - np.outer(mean, mean)
                 scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-                squares = np.maximum(squares, np.clip(covariance / np.outer(scale, scale), -1, 1) ** 2)
+                squares = np.maximum(squares, np.clip(covariance / np.outer(scale, scale), 0, 1) ** 2)
         if correlate:
             np.fill_diagonal(squares, 0)
             self.weight = 1 / (1 + squares.sum(1))
@@ -220,10 +220,11 @@ def _expect(model: LabelModel):
 def fit_label_model(patterns: DataFrame, voters: int, prior: float, work: Work, steps: int = 6) -> LabelModel:
     """Expectation-maximisation over counted vote patterns (votes, label, n): a fit, the correlations, and a fit with the weights."""
     model = LabelModel(voters, prior)
-    for step in range(2 * steps):
-        sums = tree_sum(patterns.mapInArrow(_expect(model), "sums binary"), work, f"em{step}-")
+    labelled = patterns.filter("label is not null")
+    for step in range(-1, 2 * steps):
+        sums = tree_sum((labelled if step < 0 else patterns).mapInArrow(_expect(model), "sums binary"), work, f"em{step + 1}-")
         if sums is None:
-            break
+            continue
         model.update(sums, correlate=step == steps - 1)
     return model
 
