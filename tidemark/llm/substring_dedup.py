@@ -27,8 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .words import Corpus, mix, parts
-from .work import Work, shuffle_partitions
+from .words import Corpus, parts
+from .work import Work, shuffle_partitions, slices
 
 SIZE = 35
 #: Bytes of text for each hash range: some 1.2 million windows, 11 MB at their owner.
@@ -81,8 +81,8 @@ def _hash_windows(size: int, ranges: int):
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), _column(b.column(1))
+        for part in slices(batches):
+            ids, texts = part.column(0).to_pylist(), _column(part.column(1))
             for s, e in parts(texts):
                 if rows := block_rows(ids[s:e], texts[s:e]):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
@@ -181,31 +181,30 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, work: Work | None = None) -
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_key(t) for t in _column(b.column(1))], pa.int64())], ["doc_id", "text", "text_key"])
 
 
 def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part, kept, n_words, n_removed = b.slice(at, 500), [], [], []
-                for text, runs in zip(_column(part.column("text")), part.column("runs").to_pylist(), strict=True):
-                    words = text.split()
-                    n_words.append(len(words))
-                    if runs is not None:
-                        left, last = [], 0
-                        for s, e in np.frombuffer(runs, "<i4").reshape(-1, 2).tolist():
-                            left += words[last:s]
-                            last = e
-                        words = left + words[last:]
-                    n_removed.append(n_words[-1] - len(words))
-                    kept.append(b" ".join(words))
-                columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
-                names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    columns, names = [*columns, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_text"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+        for part in slices(batches):
+            kept, n_words, n_removed = [], [], []
+            for text, runs in zip(_column(part.column("text")), part.column("runs").to_pylist(), strict=True):
+                words = text.split()
+                n_words.append(len(words))
+                if runs is not None:
+                    left, last = [], 0
+                    for s, e in np.frombuffer(runs, "<i4").reshape(-1, 2).tolist():
+                        left += words[last:s]
+                        last = e
+                    words = left + words[last:]
+                n_removed.append(n_words[-1] - len(words))
+                kept.append(b" ".join(words))
+            columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+            if with_text:
+                columns, names = [*columns, pa.array(kept, pa.binary()).cast(pa.string())], [*names, "kept_text"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 

@@ -60,6 +60,10 @@ def span_hashes(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndar
     return mix(raw + (ends - starts).astype(np.uint64) * _M2)
 
 
+#: Bytes hashed at a time; only a longer word takes more.
+SEGMENT = (1 << 19) - 1
+
+
 class Corpus:
     """Words of some texts, one after another: ``first[i]`` to ``first[i + 1]`` are those of text i."""
 
@@ -70,7 +74,13 @@ class Corpus:
         starts, ends = word_bounds(data)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-        self.words = span_hashes(_byte_values()[data], _B1, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+        self.words = np.zeros(len(starts), np.uint64)
+        s = 0
+        while s < len(starts):  # some SEGMENT bytes at a time: prefix sums take tens of bytes for each byte of text
+            e = max(s + 1, int(np.searchsorted(ends, starts[s] + SEGMENT, side="right")))
+            low = starts[s]
+            self.words[s:e] = span_hashes(_byte_values()[data[low : ends[e - 1]]], _B1, starts[s:e] - low, ends[s:e] - low)
+            s = e
 
     @property
     def counts(self) -> np.ndarray:
