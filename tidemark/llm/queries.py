@@ -41,6 +41,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_html_text": op5_html_text,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
     "op8_source_mixing": op8_source_mixing,
