@@ -71,6 +71,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_links import link_vectors
+
+    return link_vectors(_read(spark, sf_dir, "embeddings")).rows
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_store": op7_token_store,
     "op8_source_mixing": op8_source_mixing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -129,4 +136,12 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS BIGINT) AS block,
                CAST('0x' || substr(md5('17:' || epoch || ':' || coalesce(source, '') || ':' || block), 1, 15) AS BIGINT) AS block_order
         FROM z""",
+    "op10_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+        c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+        n AS (SELECT x, count(*) AS n_links FROM p GROUP BY x)
+        SELECT c.x AS vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, c.x = c.component_id AS kept
+        FROM c LEFT JOIN n ON c.x = n.x""",
 }
