@@ -7,7 +7,8 @@ their places. Owners of hash ranges count them and return to each block the plac
 in other blocks or that the block had repeated. There, overlapping windows merge into maximal intervals of words, kept by
 document as (doc_id, hash of the text, intervals). Pass 2 joins these with the texts and removes the words.
 
-Hashes have 64 bits: with n windows in the corpus, the chance that any two different windows share one is below n * n / 2 ** 65.
+Hashes have 64 bits. Owners know the leading ones from their range and get the other 56: with n windows and r ranges, the chance that
+any two different windows are taken for one is below n * n / (r * 2 ** 57), and r grows with n.
 
 Blocks are named by their content, hash ranges grow in number with the corpus, and both passes may run again in other
 orders. The input must give the same rows each time it is read: give a table, not a computed frame.
@@ -33,6 +34,8 @@ from .work import Work, shuffle_partitions, slices
 SIZE = 35
 #: Bytes of text for each hash range: some 1.2 million windows, 11 MB at their owner.
 RANGE_BYTES = 8 << 20
+#: Bytes sent of a hash: the low ones; its leading bits are those of the range.
+SENT_BYTES = 7
 
 _SENT = pa.schema([("owner", pa.int32()), ("block", pa.binary()), ("body", pa.binary()), ("gaps", pa.binary()), ("known", pa.binary()), ("header", pa.binary())])
 SENT_SCHEMA = "owner int, block binary, body binary, gaps binary, known binary, header binary"
@@ -77,7 +80,7 @@ def _hash_windows(size: int, ranges: int):
         for k in np.flatnonzero(np.diff(edges)).tolist():
             s = slice(edges[k], edges[k + 1])
             wide = gaps[s].astype("<u4" if gaps[s].max() > 0xFFFF else "<u2" if gaps[s].max() > 0xFF else "u1")
-            rows.append((k, block, value[s].astype("<u8").tobytes(), wide.tobytes(), np.packbits(multiple[s]).tobytes(), None))
+            rows.append((k, block, value[s].astype("<u8").view("u1").reshape(-1, 8)[:, :SENT_BYTES].tobytes(), wide.tobytes(), np.packbits(multiple[s]).tobytes(), None))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +103,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([passing.column("block"), passing.column("known"), passing.column("header")], schema=_PLACES)
         rest = b.filter(own)
         for name, body, gap, k in zip(*(rest.column(c).to_pylist() for c in ("block", "body", "gaps", "known")), strict=True):
-            n = len(body) // 8
+            n = len(body) // SENT_BYTES
             blocks.append(name)
-            bodies.append(np.frombuffer(body, "<u8"))
+            whole = np.zeros((n, 8), np.uint8)
+            whole[:, :SENT_BYTES] = np.frombuffer(body, np.uint8).reshape(n, SENT_BYTES)
+            bodies.append(whole.view("<u8").ravel())
             gaps.append(np.cumsum(np.frombuffer(gap, f"<u{len(gap) // n}").astype(np.int64)).astype("<i4"))
             known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=n).astype(bool))
     if not bodies:
@@ -181,16 +186,21 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, work: Work | None = None) -
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by their key, packed, since all of them are shuffled once."""
+    codec = pa.Codec("zstd", 1)
     for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([text_key(t) for t in _column(b.column(1))], pa.int64())], ["doc_id", "text", "text_key"])
+        texts = _column(b.column(1))
+        packed = [codec.compress(t, asbytes=True) for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([text_key(t) for t in texts], pa.int64())], ["doc_id", "packed", "size", "text_key"])
 
 
 def _remove(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
         for part in slices(batches):
             kept, n_words, n_removed = [], [], []
-            for text, runs in zip(_column(part.column("text")), part.column("runs").to_pylist(), strict=True):
-                words = text.split()
+            for packed, size, runs in zip(*(part.column(c).to_pylist() for c in ("packed", "size", "runs")), strict=True):
+                words = codec.decompress(packed, size, asbytes=True).split()
                 n_words.append(len(words))
                 if runs is not None:
                     left, last = [], 0
@@ -212,6 +222,7 @@ def _remove(with_text: bool):
 def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = True, work: Work | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, joined by one space)."""
     runs = repeated_runs(docs, size, work).withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__key"})
-    keyed = docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, text string, text_key long")
-    joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__key")), "left").select("doc_id", "text", "runs")
+    keyed = docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, packed binary, size long, text_key long")
+    # A merge join at every size: the runs grow with the corpus.
+    joined = keyed.join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__key")), "left").select("doc_id", "packed", "size", "runs")
     return joined.mapInArrow(_remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
