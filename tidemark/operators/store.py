@@ -49,9 +49,12 @@ class ArchiveTable:
                 return None
             raise
 
-    def write(self, points: DataFrame, now: int) -> None:
+    def write(self, points: DataFrame, now: int, version: int | None = None) -> None:
+        """Upsert. With ``version`` (the number of a micro-batch) the batch's own seq orders points within it, the version batches."""
         day = F.floor(F.col("ts") / 86400).cast("long")
         new = upsert(None, points, self.policy, now).withColumn("day", day)
+        if version is not None:
+            new = new.withColumn("seq", F.lit(version).cast("long"))
         held = self.read()
         if held is not None:
             days = [r.day for r in new.select("day").distinct().collect()]  # as many as days in the batch

@@ -1,6 +1,6 @@
 """Streaming ingest: sources, repeated points, 60-second slots, and a writer that stores and relays each batch.
 
-The frames that batch operators take and give are the same here; what needs state is the repeated-point filter (``transformWithState``)
+The frames that batch operators take and give are the same here; what needs state is the repeated-point filter (``applyInPandasWithState``)
 and the slots (watermarked windows). Slots in streaming drop late rows by the watermark of the batch before, so a row may be
 accepted that the row-exact batch operator ``rules.recovery_late`` would drop; apply that operator in ``foreachBatch`` where it matters.
 """
@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.policies import Policy
 from ..operators import filters, relay, rules
@@ -21,18 +21,18 @@ from ..sources.lines import parse_lines, points_of
 
 
 def line_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Points of text files that arrive in a folder; seq is the order within the run."""
+    """Points (name, val, ts) of text files that arrive in a folder; ``store_and_relay`` numbers them within their batch."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     rows = reader.load(path)
-    return points_of(parse_lines(rows)).withColumn("seq", F.monotonically_increasing_id())
+    return points_of(parse_lines(rows))
 
 
 def socket_lines(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Points of a line socket, for development."""
     rows = spark.readStream.format("socket").option("host", host).option("port", port).load()
-    return points_of(parse_lines(rows)).withColumn("seq", F.monotonically_increasing_id())
+    return points_of(parse_lines(rows))
 
 
 def envelope_files(spark: SparkSession, path: str) -> DataFrame:
@@ -42,34 +42,30 @@ def envelope_files(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("name", "val", "ts", F.floor(F.col("arrival_ms") / 1000).alias("arrival"))
 
 
-class _Repeats(StatefulProcessor):
-    """Remembers the interval of a name's last point."""
+def _repeats(precision: int, ttl_ms: int | None) -> Callable:
+    """Keeps a name's points whose interval isn't that of the point before; the state is the last interval."""
 
-    def __init__(self, precision: int, ttl_ms: int | None) -> None:
-        self.precision, self.ttl_ms = precision, ttl_ms
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else 0
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        own = rows["ts"] - rows["ts"] % precision
+        kept = rows[own != own.shift(fill_value=last)]
+        state.update((int(own.iloc[-1]),))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield kept[["name", "val", "ts", "seq"]]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "interval long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        last = held[0] if held else 0
-        for pdf in [pd.concat(list(rows)).sort_values("seq", kind="stable")]:
-            own = pdf["ts"] - pdf["ts"] % self.precision
-            before = own.shift(fill_value=last)
-            last = int(own.iloc[-1])
-            yield pdf[own != before][["name", "val", "ts", "seq"]]
-        self.last.update((last,))
-
-    def close(self) -> None:
-        pass
+    return run
 
 
 def drop_repeated(points: DataFrame, precision: int = 60, ttl_minutes: int | None = 60) -> DataFrame:
-    """Streaming form of ``filters.drop_repeated``; a name not seen for ``ttl_minutes`` is forgotten. Needs the RocksDB state store."""
+    """Streaming form of ``filters.drop_repeated``; a name not seen for ``ttl_minutes`` is forgotten. Needs name, val, ts, seq."""
     ttl = ttl_minutes * 60_000 if ttl_minutes else None
-    return points.groupBy("name").transformWithStateInPandas(
-        statefulProcessor=_Repeats(precision, ttl), outputStructType="name string, val double, ts long, seq long", outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl else GroupStateTimeout.NoTimeout
+    return points.groupBy("name").applyInPandasWithState(_repeats(precision, ttl), "name string, val double, ts long, seq long", "interval long", "append", timeout)
 
 
 def slots(points: DataFrame, aggregation: Sequence[rules.Rule], max_slots: int = rules.RECOVERY_SLOTS) -> DataFrame:
@@ -94,12 +90,14 @@ def store_and_relay(archive: ArchiveTable, now: Callable[[], int], routes: Seque
     """A ``foreachBatch`` function: audit, filters and lists, then the store, then the relay. An upsert may be repeated safely."""
 
     def run(batch: DataFrame, epoch: int) -> None:
+        if "seq" not in batch.columns:
+            batch = batch.withColumn("seq", F.monotonically_increasing_id())
         batch.persist()
         try:
             if audit:
                 audit(batch)
             good = filters.listed(batch.filter(filters.passes(now=now(), **limits)), allow, block)
-            archive.write(good, now())
+            archive.write(good, now(), version=epoch)
             if routes:
                 (sinks or relay.Sinks()).write_all(relay.route(good, routes))
         finally:
