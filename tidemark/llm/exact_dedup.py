@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .work import Work, shuffle_partitions
+from .work import Work, lean, shuffle_partitions
 
 #: Distinct texts in a bucket before it splits.
 CAPACITY = 4096
@@ -150,16 +150,16 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_bits: int = MAX_
     spark = docs.sparkSession
     work = work or Work(spark, "exact-dedup")
     docs = docs.select("doc_id", "text")
-    hashed = docs.mapInArrow(_digests, "doc_id long, sha binary")
+    hashed = docs.mapInArrow(lean(_digests), "doc_id long, sha binary")
     members = work.save(hashed.groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("copies")), "members")
     owners = shuffle_partitions(spark)
     bits = min(max_bits, key_bits)
     head = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
     histogram = members.select("sha").distinct().groupBy(F.shiftrightunsigned(head, 32 - bits).alias("prefix")).count()
     directory = build_directory({r[0]: r[1] for r in histogram.toLocalIterator()}, bits, capacity, min(bits, (owners - 1).bit_length()))
-    entries = docs.mapInArrow(_entries(directory, owners, key_bits), ENTRY_SCHEMA)
+    entries = docs.mapInArrow(lean(_entries(directory, owners, key_bits)), ENTRY_SCHEMA)
     owned = entries.repartitionById(owners, F.col("owner")).sortWithinPartitions("key")
-    index = work.save(owned.mapInArrow(_own, RECORD_SCHEMA), "index").select("sha", "keep_id", "group_size").filter("group_size > 1")
+    index = work.save(owned.mapInArrow(lean(_own), RECORD_SCHEMA), "index").select("sha", "keep_id", "group_size").filter("group_size > 1")
     rows = members.agg(F.sum("copies")).first()[0] or 0
     hot = F.col("group_size") > max(HOT_ROWS, rows // HOT_KEYS)
     large, small = index.filter(hot), index.filter(~hot)

@@ -23,7 +23,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .work import slices
+from .work import lean, slices
 
 WIDEST = 60
 
@@ -372,4 +372,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id and text, from columns page_id and html."""
-    return pages.select("page_id", "html").mapInArrow(_extract, "page_id long, text string")
+    return pages.select("page_id", "html").mapInArrow(lean(_extract), "page_id long, text string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from .components import components
 from .words import Corpus, mix, parts
-from .work import Work, join_sized, shuffle_partitions
+from .work import Work, join_sized, lean, shuffle_partitions
 
 SIZE, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9995, 128
 #: Nodes of a block: a sixteenth of the component, but at least and at most this.
@@ -217,13 +217,13 @@ def similar_documents(docs: DataFrame, size: int = SIZE, threshold: float = THRE
     work = work or Work(spark, "ngram-join")
     bands, rows = bands_for(threshold, recall, hashes)
     docs = docs.select("doc_id", "text")
-    signed = work.save(docs.mapInArrow(_signatures(size, bands, rows), "doc_id long, node long, bands binary"), "signatures")
+    signed = work.save(docs.mapInArrow(lean(_signatures(size, bands, rows)), "doc_id long, node long, bands binary"), "signatures")
     members = work.save(signed.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("copies")), "members")
     total = members.agg(F.sum("copies")).first()[0] or 0
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
     nodes = work.save(members.filter("node is not null").groupBy("node").agg(F.sum("copies").alias("weight"), F.min(order).alias("least")).select("node", "weight", F.col("least.doc_id").alias("least_id")), "nodes")
 
-    postings = signed.filter("bands is not null").select("node", "bands").mapInArrow(_postings, "band long, node long").distinct()
+    postings = signed.filter("bands is not null").select("node", "bands").mapInArrow(lean(_postings), "band long, node long").distinct()
     heads = postings.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     stars = postings.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     candidates = components(stars, work, "candidates")
@@ -234,11 +234,11 @@ def similar_documents(docs: DataFrame, size: int = SIZE, threshold: float = THRE
 
     wanted = placed.withColumnRenamed("least_id", "__doc_id")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc_id"))).select("text", "node", "weight", "comp", "blocks")
-    sets = texts.mapInArrow(_payloads(size), "node long, weight long, comp long, blocks int, grams binary")
+    sets = texts.mapInArrow(lean(_payloads(size)), "node long, weight long, comp long, blocks int, grams binary")
     mine = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = mine.select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "weight", "grams")
     dealt = units.repartition(shuffle_partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    found = work.save(dealt.mapInArrow(_verify(threshold), "node long, root long, links long"), "found")
+    found = work.save(dealt.mapInArrow(lean(_verify(threshold)), "node long, root long, links long"), "found")
 
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), work, "classes")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -274,7 +274,7 @@ def drop_near_copies(docs: DataFrame, size: int = SIZE, **options) -> DataFrame:
     same_id = F.col("doc_id").eqNullSafe(F.col("__doc_id"))
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return docs.join(kept, same_id, "left_semi")
-    keyed = docs.mapInArrow(_keyed(size), T.StructType([*docs.schema.fields, T.StructField("__own", T.LongType())]))
+    keyed = docs.mapInArrow(lean(_keyed(size)), T.StructType([*docs.schema.fields, T.StructField("__own", T.LongType())]))
     joined = keyed.join(kept, same_id & F.col("__own").eqNullSafe(F.col("__node")), "left_semi")
     once = joined.filter("__own is not null").dropDuplicates(["doc_id", "__own"])
     return once.unionByName(joined.filter("__own is null")).select(*docs.columns)

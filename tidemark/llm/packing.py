@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .tokens import encoder
-from .work import Work
+from .work import Work, lean
 
 LENGTH, END_ID, SLACK, FAN_IN, TASK_BINS = 1024, 2, 4, 8, 250_000
 
@@ -122,8 +122,8 @@ def _round(number: int, length: int, slack: int, last: bool, limit: int):
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, slack: int = SLACK, fan_in: int = FAN_IN, task_bins: int = TASK_BINS, work: Work | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Reads columns doc_id and text."""
     work = work or Work(docs.sparkSession, "packing")
-    pieces = work.save(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, length, end_id), PIECE_SCHEMA), "pieces")
-    rounds = [work.save(pieces.mapInArrow(_round(0, length, slack, False, task_bins), ROUND_SCHEMA), "round0")]
+    pieces = work.save(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, length, end_id)), PIECE_SCHEMA), "pieces")
+    rounds = [work.save(pieces.mapInArrow(lean(_round(0, length, slack, False, task_bins)), ROUND_SCHEMA), "round0")]
     while True:
         underfull = rounds[-1].filter("NOT done")
         tasks, bins = underfull.agg(F.max("task") + 1, F.count_distinct("bin")).first()
@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
             groups = tasks
         number = len(rounds)
         dealt = underfull.repartitionById(groups, (F.col("task") * groups / tasks).cast("int")).drop("done", "task")
-        rounds.append(work.save(dealt.mapInArrow(_round(number, length, slack, last, task_bins), ROUND_SCHEMA), f"round{number}"))
+        rounds.append(work.save(dealt.mapInArrow(lean(_round(number, length, slack, last, task_bins)), ROUND_SCHEMA), f"round{number}"))
         if last:
             break
     out = rounds[0].filter("done")

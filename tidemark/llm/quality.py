@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .work import Work, slices, tree_sum
+from .work import Work, lean, slices, tree_sum
 
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 3.0, 1e-3, 4000, 20
 HELD_OUT, FOLDS, CUT = 0, 5, 0.3
@@ -147,7 +147,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     """One row per document: doc_id, held_out, score, predicted. Reads doc_id and text, and doc_id and quality of ``labels``."""
     work = work or Work(docs.sparkSession, "quality")
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS)
-    measured = work.save(docs.select("doc_id", "text").mapInArrow(_measure, schema), "statistics")
+    measured = work.save(docs.select("doc_id", "text").mapInArrow(lean(_measure), schema), "statistics")
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     learn = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     learn = learn.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("label"))
@@ -157,7 +157,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     k = len(STATISTICS)
     some = np.array([x or 0.0 for x in moments], float)
     maps = FourierFeatures(some[:k], some[k:], features, width, seed)
-    total = tree_sum(learnt.mapInArrow(_equations(maps), "sums binary"), work, "equations")
+    total = tree_sum(learnt.mapInArrow(lean(_equations(maps)), "sums binary"), work, "equations")
     if total is None:
         return measured.select("doc_id", held_out.alias("held_out"), F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
     size = 2 * (features // 2) + 1
@@ -165,11 +165,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
     n = total[size - 1, size - 1]
     weights = np.linalg.solve(total[:size] + ridge * n * np.eye(size) / size, total[size])
 
-    scored = learnt.mapInArrow(_score(maps, weights), "doc_id long, raw double, label double")
+    scored = learnt.mapInArrow(lean(_score(maps, weights)), "doc_id long, raw double, label double")
     bins = scored.groupBy(F.round(F.least(F.greatest("raw", F.lit(-1.0)), F.lit(2.0)) * (BINS / 3)).alias("bin")).agg(F.avg("raw"), F.avg("label"), F.count(F.lit(1)))
     table = np.array(sorted((r[1], r[2], r[3]) for r in bins.collect()))  # BINS + 1 rows at most
     places, values = isotonic(table[:, 0], table[:, 1], table[:, 2])
-    out = measured.mapInArrow(_score(maps, weights), "doc_id long, raw double").mapInArrow(_calibrate(places, values), "doc_id long, score double")
+    out = measured.mapInArrow(lean(_score(maps, weights)), "doc_id long, raw double").mapInArrow(lean(_calibrate(places, values)), "doc_id long, score double")
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 

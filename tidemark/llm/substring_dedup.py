@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .words import Corpus, parts
-from .work import Work, shuffle_partitions, slices
+from .work import Work, lean, shuffle_partitions, slices
 
 SIZE = 35
 #: Bytes of text for each hash range: some 1.2 million windows, 11 MB at their owner.
@@ -179,9 +179,9 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, work: Work | None = None) -
     work = work or Work(spark, "substring")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(0, max(-(-total // RANGE_BYTES), shuffle_partitions(spark)) - 1).bit_length()
-    sent = docs.select("doc_id", "text").mapInArrow(_hash_windows(size, ranges), SENT_SCHEMA).repartitionById(ranges, F.col("owner"))
-    places = sent.mapInArrow(_count, PLACES_SCHEMA)
-    merged = places.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(_merge(size), "doc_id long, text_key long, runs binary")
+    sent = docs.select("doc_id", "text").mapInArrow(lean(_hash_windows(size, ranges)), SENT_SCHEMA).repartitionById(ranges, F.col("owner"))
+    places = sent.mapInArrow(lean(_count), PLACES_SCHEMA)
+    merged = places.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(lean(_merge(size)), "doc_id long, text_key long, runs binary")
     return work.save(merged.dropDuplicates(["doc_id", "text_key"]), "runs")
 
 
@@ -222,7 +222,7 @@ def _remove(with_text: bool):
 def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = True, work: Work | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, joined by one space)."""
     runs = repeated_runs(docs, size, work).withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__key"})
-    keyed = docs.select("doc_id", "text").mapInArrow(_keys, "doc_id long, packed binary, size long, text_key long")
+    keyed = docs.select("doc_id", "text").mapInArrow(lean(_keys), "doc_id long, packed binary, size long, text_key long")
     # A merge join at every size: the runs grow with the corpus.
     joined = keyed.join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__key")), "left").select("doc_id", "packed", "size", "runs")
-    return joined.mapInArrow(_remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return joined.mapInArrow(lean(_remove(with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

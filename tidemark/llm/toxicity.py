@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .ngram_join import ngram_sets
 from .quality import fold
-from .work import Work, slices, tree_sum
+from .work import Work, lean, slices, tree_sum
 
 HELD_OUT, FOLDS, CUT = 1, 3, 0.7
 SAMPLE, STEMS, MINED_VOTERS, LEAST_SUPPORT, LEAST_ODDS = 20_000, 600, 16, 4, 3.0
@@ -222,7 +222,7 @@ def fit_label_model(patterns: DataFrame, voters: int, prior: float, work: Work,
     model = LabelModel(voters, prior)
     labelled = patterns.filter("label is not null")
     for step in range(-1, 2 * steps):
-        sums = tree_sum((labelled if step < 0 else patterns).mapInArrow(_expect(model), "sums binary"), work, f"em{step + 1}-")
+        sums = tree_sum((labelled if step < 0 else patterns).mapInArrow(lean(_expect(model)), "sums binary"), work, f"em{step + 1}-")
         if sums is None:
             continue
         model.update(sums, correlate=step == steps - 1)
@@ -268,17 +268,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label")).orderBy(order, "doc_id").limit(sample)
     known = work.save(known, "known")  # at most ``sample`` rows of 12 bytes, so it may be broadcast
-    learnt = docs.join(F.broadcast(known), "doc_id").mapInArrow(_sketch, "same long, label int, text string").groupBy("same", "label").agg(F.max("text").alias("text"))
+    learnt = docs.join(F.broadcast(known), "doc_id").mapInArrow(lean(_sketch), "same long, label int, text string").groupBy("same", "label").agg(F.max("text").alias("text"))
     learnt = work.save(learnt.select("text", "label"), "learnt")
     sizes = dict(learnt.groupBy("label").count().collect())
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    mined = learnt.mapInArrow(_mine, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    mined = learnt.mapInArrow(lean(_mine), "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     found = mined.filter((F.col("toxic") >= max(LEAST_SUPPORT, toxic // 100)) & (odds >= LEAST_ODDS)).orderBy(F.desc("toxic"), "stem").limit(20 * stems)
     chosen = choose_stems([tuple(r) for r in found.collect()], toxic, clean, stems)
 
     voters = len(FIXED_VOTERS) + MINED_VOTERS + 2
-    features = work.save(docs.mapInArrow(_featurise(chosen, MINED_VOTERS), "doc_id long, votes binary, hits binary"), "features")
+    features = work.save(docs.mapInArrow(lean(_featurise(chosen, MINED_VOTERS)), "doc_id long, votes binary, hits binary"), "features")
     anchored = features.join(F.broadcast(known), "doc_id", "left")
     patterns = work.save(anchored.groupBy("votes", F.col("label").cast("double").alias("label")).agg(F.count(F.lit(1)).alias("n")), "patterns")
     prior = (toxic + 1) / (toxic + clean + 2) if toxic + clean else 0.05
@@ -296,5 +296,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample
     else:
         weights = np.append(np.full(size, 4.0), -3.0)
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    scored = features.select("doc_id", "hits").mapInArrow(_classify(weights), "doc_id long, score double")
+    scored = features.select("doc_id", "hits").mapInArrow(lean(_classify(weights)), "doc_id long, score double")
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -6,8 +6,10 @@ executors and the driver see it, so a lost executor costs a re-read, not a recom
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,15 @@ class Work:
         if not root:
             spark.sparkContext.setCheckpointDir(LOCAL_DEFAULT)
             root = LOCAL_DEFAULT
+        # Batches of whole texts: the session's own bound stays if it is lower.
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
         self.spark, self.path = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None, compression: str = "zstd") -> DataFrame:
         """Write ``df`` as Parquet and return a scan of what was written."""
-        writer = df.write.option("compression", "zstd").mode("overwrite")
+        writer = df.write.option("compression", compression).mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(f"{self.path}/{name}")
@@ -49,6 +55,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Rows of an Arrow batch: texts of this many rows are in a Python worker at a time.
+BATCH_ROWS = 2000
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``fn``, after which a worker process gives freed memory back: workers stay alive between tasks, and idle ones add up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that Python objects of only so many texts live at a time."""
     for b in batches:
@@ -89,6 +113,6 @@ def tree_sum(parts: DataFrame, work: Work, name: str, fan_in: int = 16) -> np.nd
     count = level.count()
     while count > fan_in:
         n, count = n + 1, -(-count // fan_in)
-        level = work.save(level.repartition(count).mapInArrow(_summed, "sums binary"), f"{name}{n}")
+        level = work.save(level.repartition(count).mapInArrow(lean(_summed), "sums binary"), f"{name}{n}")
     rows = [np.frombuffer(r[0], np.float64) for r in level.collect()]
     return sum(rows[1:], rows[0].copy()) if rows else None
