@@ -17,10 +17,11 @@ from functools import lru_cache
 import numpy as np
 
 #: Words that a worker process keeps for good, once they have been seen twice, and words seen once lately: some 200 bytes each.
-CACHE_WORDS, CACHE_LATE = 400_000, 250_000
+CACHE_WORDS, CACHE_LATE = 500_000, 150_000
 _WHOLE = re.compile(r"\s |<\|")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PAIRS = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ", "<|")
+#: White space other than a space and a line feed.
+_ODD = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 @lru_cache(maxsize=1)
@@ -44,6 +45,7 @@ class Encoder:
         self.by_word = kind["model"]["type"] == "BPE" and kind.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         ids = np.arange(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype="<u4").tobytes()
         self.bytes_of = [ids[i : i + 4] for i in range(0, len(ids), 4)]
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.late: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
@@ -52,40 +54,39 @@ class Encoder:
         return b"".join([self.bytes_of[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _run(self, run: str) -> bytes:
-        """Ids of one pre-token."""
-        if run.isascii():
-            run = run.replace(" ", "Ġ").replace("\n", "Ċ")
-        else:
+        """Ids of one pre-token, in the characters that show its bytes."""
+        own = self.bytes_of
+        return b"".join([own[t.id] for t in self.tokenize(run)])
+
+    def _letters(self, lead: str, body: str) -> bytes:
+        if not body.isascii():
             shown = _shown()
-            run = "".join([shown[b] for b in run.encode()])
-        return b"".join([self.bytes_of[t.id] for t in self.tokenizer.model.tokenize(run)])
-
-    def _new(self, word: str, lead: str = " ") -> bytes:
-        """Ids of ``lead`` and ``word``; ``lead`` is a space or nothing."""
-        late, key = self.late, word if lead else "\n" + word
-        ids = late.get(key)
-        if ids is not None:
-            if len(self.known) < CACHE_WORDS:
-                self.known[key] = ids
+            body = "".join([shown[b] for b in body.encode()])
+        return self._run(lead + body)
+
+    def _new(self, word: str, lead: str = "Ġ") -> bytes:
+        """Ids of ``lead`` (a space, shown as Ġ, or nothing) and ``word``."""
+        late, known = self.late, self.known
+        key = word if lead else "\n" + word
+        if (ids := late.get(key)) is not None:
+            if len(known) < CACHE_WORDS:
+                known[key] = ids
             return ids
-        body = word.rstrip(_MARKS)
-        if body.isalpha() and (body.isascii() or max(body) <= "ɏ"):
-            if len(body) == len(word):
-                ids = self._run(lead + word)
-            else:
-                own, mark = body if lead else "\n" + body, word[len(body) :]
-                ids = self.known.get(own) or late.get(own)
-                if ids is None:
-                    ids = late[own] = self._run(lead + body)
-                if (after := self.marks.get(mark)) is None:
-                    after = self._run(mark)
-                    if len(self.marks) < 10_000:
-                        self.marks[mark] = after
-                ids += after
+        if word.isalpha() and (word.isascii() or max(word) <= "ɏ"):
+            ids = self._letters(lead, word)
+        elif (body := word.rstrip(_MARKS)).isalpha() and (body.isascii() or max(body) <= "ɏ"):
+            own, mark = body if lead else "\n" + body, word[len(body) :]
+            if (ids := known.get(own) or late.get(own)) is None:
+                ids = late[own] = self._letters(lead, body)
+            if (after := self.marks.get(mark)) is None:
+                after = self._run(mark)
+                if len(self.marks) < 10_000:
+                    self.marks[mark] = after
+            ids += after
         elif "\n" in word and not (parts := word.partition("\n"))[0].isspace() and parts[0] and parts[2][:1].isalpha():
             return self._word(parts[0], lead) + self._mark_line() + self._word(parts[2], "")
         else:
-            ids = self.whole(lead + word)
+            ids = self.whole((" " if lead else "") + word)
         if len(word) < 40:
             late[key] = ids
             if len(late) > CACHE_LATE:
@@ -94,7 +95,7 @@ class Encoder:
 
     def _mark_line(self) -> bytes:
         if (ids := self.marks.get("\n")) is None:
-            ids = self.marks["\n"] = self._run("\n")
+            ids = self.marks["\n"] = self._run("Ċ")
         return ids
 
     def _word(self, word: str, lead: str) -> bytes:
@@ -106,14 +107,15 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif not self.by_word or any(map(text.__contains__, _PAIRS)) or not text.isascii() and _WHOLE.search(text):
+                continue
+            first, *rest = text.split(" ")
+            if not self.by_word or "" in rest or "\n " in text or "<|" in text or any(map(text.__contains__, _ODD)) and _WHOLE.search(text):
                 out.append(self.whole(text))
-            else:
-                first, *rest = text.split(" ")
-                got = list(map(get, rest))
-                if None in got:
-                    got = [new(rest[i]) if x is None else x for i, x in enumerate(got)]
-                out.append((self.whole(first) if first else b"") + b"".join(got))
+                continue
+            got = list(map(get, rest))
+            if None in got:
+                got = [new(w) if x is None else x for x, w in zip(got, rest, strict=True)]
+            out.append((self.whole(first) if first else b"") + b"".join(got))
         return out
 
 
