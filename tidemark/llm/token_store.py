@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .tokens import encoder
-from .work import Work, shuffle_partitions
+from .work import Work, lean, shuffle_partitions
 
 END_ID = 2
 #: Ids under the rolling hash; least, mean and greatest length of a chunk in ids.
@@ -224,10 +224,10 @@ class TokenStore:
     def documents(self) -> DataFrame:
         """From the files: doc_id, start, n_tokens, ids_crc32. Fails where a chunk or recipe isn't what its name says."""
         spark = self.chunks.sparkSession
-        facts = self.chunks.mapInArrow(_chunk_facts(self.wide), "digest binary, stored long, crc long")
-        refs = self.recipes.mapInArrow(_references, "digest binary, recipe long, length long, after long")
+        facts = self.chunks.mapInArrow(lean(_chunk_facts(self.wide)), "digest binary, stored long, crc long")
+        refs = self.recipes.mapInArrow(lean(_references), "digest binary, recipe long, length long, after long")
         found = refs.join(facts, "digest").filter("stored = length").select("recipe", "length", "after", "crc")
-        crcs = found.mapInArrow(_shifted, "recipe long, length long, crc long").groupBy("recipe").agg(F.bit_xor("crc").alias("crc"), F.sum("length").alias("found"))
+        crcs = found.mapInArrow(lean(_shifted), "recipe long, length long, crc long").groupBy("recipe").agg(F.bit_xor("crc").alias("crc"), F.sum("length").alias("found"))
         own = self.recipes.select("doc_id", "recipe", "n_tokens", F.shiftright("recipe", 33).alias("part"))
         before, starts = 0, []
         for part, n in sorted(own.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a row for each recipe file
@@ -243,7 +243,7 @@ class TokenStore:
         """doc_id and ids (array of long) of the documents whose doc_id is in the column ``doc_id`` of the given frame."""
         wide = self.wide
         wanted = self.recipes.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        refs = wanted.mapInArrow(_references, "digest binary, recipe long, length long, after long")
+        refs = wanted.mapInArrow(lean(_references), "digest binary, recipe long, length long, after long")
         rows = refs.join(self.chunks, "digest").groupBy("recipe").agg(F.array_sort(F.collect_list(F.struct((-F.col("after")).alias("place"), "payload"))).alias("parts"))
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,7 @@ class TokenStore:
                 lists = [np.frombuffer(b"".join(p["payload"] for p in parts), "<u4" if wide else "<u2").astype(np.int64) for parts in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["recipe", "ids"])
 
-        return rows.mapInArrow(joined, "recipe long, ids array<long>").join(wanted.select("recipe", "doc_id"), "recipe").select("doc_id", "ids")
+        return rows.mapInArrow(lean(joined), "recipe long, ids array<long>").join(wanted.select("recipe", "doc_id"), "recipe").select("doc_id", "ids")
 
     def verify(self) -> bool:
         """True if the recipe files still have the roots of the manifest."""
@@ -269,9 +269,9 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = END_ID, work: Wor
     work = work or Work(spark, "token-store")
     owners = shuffle_partitions(spark)
     wide = max(encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
-    parts = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id, owners, wide), PART_SCHEMA)
-    once = parts.repartitionById(owners, F.col("owner")).mapInArrow(_once, PART_SCHEMA).drop("owner")
-    stored = work.save(once, "stored", partition_by="kind")
+    parts = docs.select("doc_id", "text").mapInArrow(lean(_encode(tokenizer, end_id, owners, wide)), PART_SCHEMA)
+    once = parts.repartitionById(owners, F.col("owner")).mapInArrow(lean(_once), PART_SCHEMA).drop("owner")
+    stored = work.save(once, "stored", compression="snappy")
     chunks = stored.filter("kind = 0").select("digest", "payload")
     ordered = stored.filter("kind = 1").select("doc_id", "tag", "n_tokens", "refs", "root").repartitionByRange(owners, "doc_id", "tag").sortWithinPartitions("doc_id", "tag")
     recipes = work.save(ordered.select("doc_id", F.monotonically_increasing_id().alias("recipe"), "n_tokens", "refs", "root"), "recipes")
