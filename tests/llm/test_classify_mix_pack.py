@@ -143,7 +143,7 @@ def mixed(docs, evenness, repeats, budget, seed=17):
     import hashlib
 
     md5 = lambda *p: int(hashlib.md5(":".join(p).encode()).hexdigest()[:15], 16)
-    rows = [(i, s, len((t or "").split()), md5(str(seed), "" if i is None else str(i), hashlib.md5((t or "").encode()).hexdigest())) for i, t, s in docs]
+    rows = [(i, s, len((t or "").encode().split()), md5(str(seed), "" if i is None else str(i), hashlib.md5((t or "").encode()).hexdigest())) for i, t, s in docs]
     total = Counter()
     for _, s, n, _ in rows:
         total[s] += n
@@ -169,7 +169,7 @@ def mixed(docs, evenness, repeats, budget, seed=17):
     weights = dict(zip(total, at(max(lo, high))[2], strict=True))
     out = Counter()
     for s in total:
-        own = int(np.floor(weights[s] * budget))
+        own = int(np.floor(weights[s] * budget + 1e-6))
         epochs, left = divmod(own, total[s])
         blocks = defaultdict(list)
         for r in rows:

@@ -98,7 +98,7 @@ def plan_mix(docs: DataFrame, budget: int | None = None, evenness: float = EVENN
     k = find_exponent(shares, float(budget), entropy, max_repeats) if count else 1 << GRID_BITS
     raw = shares.withColumn("p", F.pow("q", F.lit(k) / (1 << GRID_BITS)))
     z = raw.agg(F.sum("p")).first()[0] or 1.0
-    sources = raw.select("source", "tokens", "q", (F.col("p") / z).alias("weight")).withColumn("budget", F.floor(F.col("weight") * budget).cast("long"))
+    sources = raw.select("source", "tokens", "q", (F.col("p") / z).alias("weight")).withColumn("budget", F.floor(F.col("weight") * budget + F.lit(1e-6)).cast("long"))
     sources = work.save(sources.withColumn("epochs", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens")), "sources")
 
     small = F.broadcast(sources.select(F.col("source").alias("__s"), "epochs", "rest")) if count <= BROADCAST_ROWS else sources.select(F.col("source").alias("__s"), "epochs", "rest")

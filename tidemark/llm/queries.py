@@ -120,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
                          (SELECT max(pow(q, ((lo + hi) // 2) / 1048576.0) / tokens) / sum(pow(q, ((lo + hi) // 2) / 1048576.0)) FROM q)
                          * (SELECT budget FROM c) <= 4.0 + 1e-12 AS ok FROM r) WHERE hi - lo > 1),
         k AS (SELECT greatest((SELECT max(lo) FROM e), (SELECT min(hi) FROM r)) AS k),
-        w AS (SELECT source, tokens, CAST(floor(pow(q, (SELECT k FROM k) / 1048576.0) / (SELECT sum(pow(q, (SELECT k FROM k) / 1048576.0)) FROM q) * (SELECT budget FROM c)) AS BIGINT) AS budget FROM q),
+        w AS (SELECT source, tokens, CAST(floor(pow(q, (SELECT k FROM k) / 1048576.0) / (SELECT sum(pow(q, (SELECT k FROM k) / 1048576.0)) FROM q) * (SELECT budget FROM c) + 1e-6) AS BIGINT) AS budget FROM q),
         s AS (SELECT source, budget // tokens AS epochs, budget % tokens AS rest FROM w),
         p AS (
             SELECT b.source, b.block, b.tokens, s.epochs,
