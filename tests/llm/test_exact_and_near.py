@@ -178,3 +178,35 @@ def test_links_match_brute_force(frame, monkeypatch, shard):
     if shard == 1500:
         assert {i: got[i][0] for i in links} == {i: len(v) for i, v in links.items()}
     assert out.recall >= 0.9
+
+
+def linked(rows, threshold=0.98):
+    """n_links and component of each row by brute force; rows: vec_id, vector, label."""
+    ids, x, label = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    x = x / np.abs(x).max(1, keepdims=True)
+    near = (x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))) >= threshold) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+    least = ids.copy()
+    while True:
+        now = np.minimum(least, np.where(near, least, ids.max()).min(1))
+        if (now == least).all():
+            return {int(i): (int(n), int(c)) for i, n, c in zip(ids, near.sum(1), least, strict=True)}
+        least = now
+
+
+def pairs_with_a_hot_label():
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(400):
+        centre, label = rng.normal(size=16), 0 if k % 3 else int(rng.integers(1, 10))
+        rows += [(2 * k + i, [float(v) for v in centre + 0.02 * i * rng.normal(size=16)], label) for i in range(2)]
+    dense = rng.normal(size=16)
+    return rows + [(1000 + i, [float(v) for v in dense + 0.05 * rng.normal(size=16)], 0) for i in range(150)]
+
+
+@pytest.mark.parametrize(("shard", "most"), [(1500, 4096), (1500, 40), (60, 40), (20, 9)])
+def test_oversize_shards_lose_no_links(frame, monkeypatch, shard, most):
+    monkeypatch.setattr(vector_links, "SHARD", shard)
+    monkeypatch.setattr(vector_links, "MOST_SHARD", most)
+    rows = pairs_with_a_hot_label()
+    out = vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()} == linked(rows)

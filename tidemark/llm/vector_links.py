@@ -1,17 +1,17 @@
-"""Near-duplicate vectors by cosine, over a robust-pruned flat graph.
+"""Near-duplicate vectors by cosine: exact, by comparing blocks of vectors that the geometry can't tell apart.
 
-Vectors equal in label and in all components are one node with a weight, so copies are never expanded. Centroids fitted on a bounded
-sample deal nodes to shards of (label, dimension, cluster); each node goes to its ``OVERLAP`` nearest clusters, and a shard
-above ``MOST_SHARD`` nodes is split by hash. Each shard builds a graph: of a node's nearest neighbours in the shard, robust pruning keeps one
-only if it is nearer to the node than, by the factor ``ALPHA``, to any that is kept; reverse edges are added. The adjacency lists of a
-node's shards are united. Every node then is a query in its nearest shard, which holds its members and their neighbours elsewhere:
-a greedy search starts at the shard's medoid and at the query, and the range is expanded from all nodes found within
-``RANGE_SLACK`` of it until nothing new is found. Links are verified in double precision on the given components.
+Vectors equal in label and in all components are one node with a weight, so copies are never expanded. A label's nodes of one dimension
+are a group. Groups above ``SHARD`` nodes are dealt to cells by the nearest of their own centroids, which are fitted on a bounded sample; a cell above
+``MOST_SHARD`` nodes is split by hash into parts. A node visits every part of every earlier cell of its group that may hold a vector within the
+threshold: by the triangle inequality it must be within the threshold's angle of the cell's radius, and within the threshold's chord of the
+cell's side of the plane between the two centroids. It visits the later parts of its own cell too. So each pair at or above the threshold meets in
+just one task, whatever the centroids are; they only decide how many pairs needn't meet. Visitors of a part come in chunks of about ``MOST_SHARD``.
 
-Tasks return counts and a spanning forest of the links found, never pairs. Recall is audited against brute force for ``AUDITED``
-queries; below ``LEAST_RECALL``, overlap and beam are doubled and everything is built again.
+A task compares its members with one another and with its visitors in double precision, block by block. Tasks return counts, to both ends of each
+link, and a spanning forest of the links, never pairs. The result is audited against brute force for ``AUDITED`` queries.
 
-Bounds: ``SAMPLE`` vectors on the driver for the centroids, ``AUDITED`` for the audit; every vector is indexed.
+Bounds: ``SAMPLE`` vectors on the driver and ``MOST_CLUSTERS`` centroids in all, for speed alone; ``AUDITED`` for the audit; every vector is compared.
+Where centroids tell nothing apart, work grows with the square of a group's different vectors.
 
 Defined results: rows with a null label and vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different dimensions don't link; repeated rows link as copies; a null vec_id is the largest; an empty table gives no rows.
@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components
-from .work import Work, join_sized, lean
+from .work import Work, join_sized, lean, slices
 
-THRESHOLD, OVERLAP, DEGREE, ALPHA, BEAM, RANGE_SLACK = 0.98, 2, 24, 1.2, 24, 0.02
-SHARD, MOST_SHARD, SAMPLE, MOST_CLUSTERS, NEAREST = 1500, 4096, 20_000, 2000, 64
-AUDITED, LEAST_RECALL = 200, 0.95
+THRESHOLD = 0.98
+SHARD, MOST_SHARD, SAMPLE, MOST_CLUSTERS = 1500, 4096, 20_000, 2000
+AUDITED = 200
+#: Allowance for rounding where cells are ruled out.
+ROUNDING = 1e-6
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,129 +68,129 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5) -> np.n
     return centres
 
 
-def _assign(centroids: dict[int, np.ndarray], overlap: int):
+def _groups(b: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each group of a batch: its name, the places of its rows, and its unit vectors."""
+    places: dict[str, list[int]] = {}
+    for i, group in enumerate(b.column("group").to_pylist()):
+        places.setdefault(group, []).append(i)
+    data = b.column("vector").to_pylist()
+    for group, at in places.items():
+        yield group, np.array(at), _unit(np.stack([np.frombuffer(data[i]) for i in at]))
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+_HOMES = "node long, weight long, group string, vector binary, cell int, split boolean, angle double"
+
+
+def _home(centroids: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for node, label, data in zip(*(b.column(c).to_pylist() for c in ("node", "label", "vector")), strict=True):
-                x = np.frombuffer(data)
-                centres = centroids.get(len(x))
-                near = np.argsort(-(centres @ x), kind="stable")[:overlap].tolist() if centres is not None else [0]
-                out += [(f"{label}/{len(x)}/{c}", rank, node) for rank, c in enumerate(near)]
-            if out:
-                keys, ranks, nodes = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ranks, pa.int32()), pa.array(nodes, pa.int64())], ["shard", "rank", "node"])
+            cells, split, angles = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows, bool), np.zeros(b.num_rows)
+            for group, at, x in _groups(b):
+                if (centres := centroids.get(group)) is not None:
+                    cosines = x @ centres.T
+                    cells[at], split[at], angles[at] = cosines.argmax(1), True, _angles(cosines.max(1))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "weight", "group", "vector")), pa.array(cells), pa.array(split), pa.array(angles)], ["node", "weight", "group", "vector", "cell", "split", "angle"])
 
     return run
 
 
-def robust_prune(x: np.ndarray, at: int, candidates: np.ndarray, degree: int, alpha: float) -> list[int]:
-    """Of the candidates, nearest first: keep the nearest, and drop those that are nearer to it, by alpha, than to ``at``."""
-    kept: list[int] = []
-    left = candidates
-    distance = 2 - 2 * (x[left] @ x[at])
-    while len(left) and len(kept) < degree:
-        p = left[0]
-        kept.append(int(p))
-        stay = alpha * alpha * (2 - 2 * (x[left] @ x[p])) > distance
-        stay[0] = False
-        left, distance = left[stay], distance[stay]
-    return kept
+class _Layout:
+    """Of the groups of more than one part: centroids, and for each cell its radius and number of parts."""
 
+    def __init__(self, centroids: dict[str, np.ndarray], cells: list[tuple[str, int, int, float]]) -> None:
+        self.centroids, self.parts, self.radius = centroids, {}, {}
+        for group, cell, size, radius in cells:
+            if group not in self.parts:
+                k = len(centroids[group]) if group in centroids else 1
+                self.parts[group], self.radius[group] = np.zeros(k, np.int64), np.full(k, -np.inf)
+            self.parts[group][cell], self.radius[group][cell] = -(-size // MOST_SHARD), radius
+
+    def visited(self, group: str, x: np.ndarray, home: np.ndarray, threshold: float) -> np.ndarray:
+        """For each unit vector and cell: may an earlier cell than its own hold a vector within the threshold of it?"""
+        centres = self.centroids[group]
+        cosines = x @ centres.T
+        near = _angles(cosines) <= self.radius[group] + np.arccos(threshold) + ROUNDING
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+        near &= cosines - cosines[np.arange(len(x)), home][:, None] >= -np.sqrt(2 - 2 * threshold) * apart[home] - ROUNDING
+        return near & (np.arange(len(centres)) < home[:, None])
+
+
+MEMBER, AGAIN, VISITOR = 0, 1, 2
 
-def _build(degree: int, alpha: float, nearest: int):
-    def run(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_numpy()
-        x = _unit(np.stack([np.frombuffer(v) for v in table.column("vector").to_pylist()]))
-        n = len(nodes)
-        out: list[list[int]] = []
-        take = min(nearest, n - 1)
-        for s in range(0, n, 512):
-            sims = x[s : s + 512] @ x.T
-            sims[np.arange(len(sims)), np.arange(s, s + len(sims))] = -np.inf
-            for i, row in enumerate(sims):
-                near = np.argpartition(-row, take - 1)[:take] if take else np.zeros(0, int)
-                out.append(robust_prune(x, s + i, near[np.argsort(-row[near], kind="stable")], degree, alpha))
-        source = np.repeat(np.arange(n), [len(o) for o in out])
-        target = np.fromiter((j for o in out for j in o), np.int64, len(source))
-        a, b = np.concatenate([source, target]), np.concatenate([target, source])
-        return pa.table({"node": pa.array(nodes[a], pa.int64()), "neighbour": pa.array(nodes[b], pa.int64())})
+
+def _deal(layout: _Layout, chunks: dict[str, int], threshold: float, counting: bool):
+    """A row for each shard that a node is a member or a visitor of. Members are dealt to each chunk of visitors, to the further ones as ``AGAIN``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 500):
+            for group, at, x in _groups(b):
+                parts = layout.parts.get(group, np.ones(1, np.int64))
+                home, node = b.column("cell").to_numpy()[at], b.column("node").to_numpy()[at]
+                own = node % parts[home]
+                of, cell = np.nonzero(layout.visited(group, x, home, threshold)) if group in layout.centroids else (np.zeros(0, int), np.zeros(0, int))
+                visits: list[list[int]] = [[] for _ in at]
+                for i, c in zip(of.tolist(), cell.tolist(), strict=True):
+                    visits[i].append(c)
+                rows: list[tuple[int, str, int]] = []
+                for i, (h, p, n) in enumerate(zip(home.tolist(), own.tolist(), node.tolist(), strict=True)):
+                    place, key = int(at[i]), f"{h}/{p}/{group}"
+                    rows += [(place, f"{c}/{key}", AGAIN if c else MEMBER) for c in range(chunks.get(key, 1))]
+                    keys = [f"{h}/{q}/{group}" for q in range(p + 1, parts[h])] + [f"{c}/{q}/{group}" for c in visits[i] for q in range(parts[c])]
+                    rows += [(place, key if counting else f"{(n >> 20) % chunks.get(key, 1)}/{key}", VISITOR) for key in keys]
+                    if len(rows) >= 5000:
+                        yield _dealt(b, rows, counting)
+                        rows = []
+                if rows:
+                    yield _dealt(b, rows, counting)
 
     return run
 
 
-_FOUND = pa.schema([("node", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("query", pa.bool_())])
+def _dealt(b: pa.RecordBatch, rows: list[tuple[int, str, int]], counting: bool) -> pa.RecordBatch:
+    place, shard, role = zip(*rows, strict=True)
+    if counting:
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.string()), pa.array(role, pa.int32())], ["shard", "role"])
+    own = b.select(["node", "weight", "vector"]).take(pa.array(place, pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.string()), pa.array(role, pa.int32()), *own.columns], ["shard", "role", "node", "weight", "vector"])
+
+
+def _join(parent: np.ndarray, nodes: np.ndarray) -> None:
+    """Make one tree of the trees of ``nodes``; the least root stays."""
+    roots = parent[nodes]
+    while not np.array_equal(up := parent[roots], roots):
+        roots = up
+    parent[roots] = parent[nodes] = roots.min()
 
 
-def _search(threshold: float, beam: int, slack: float):
+def _compare(threshold: float, rows: int = 256):
     def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("node").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        nodes, rank, weight = (table.column(c).to_numpy() for c in ("node", "rank", "weight"))
-        raw = np.stack([np.frombuffer(v) for v in table.column("vector").to_pylist()])
+        table = table.sort_by("role")
+        nodes, weight, role = (table.column(c).to_numpy() for c in ("node", "weight", "role"))
+        raw = np.frombuffer(b"".join(table.column("vector").to_pylist())).reshape(len(nodes), -1)
         norms = np.sqrt((raw * raw).sum(1))
-        x = raw / norms[:, None]
-        n = len(nodes)
-        lists = table.column("neighbours").to_pylist()
-        flat = np.fromiter((j for o in lists if o for j in o), np.int64)
-        at = np.searchsorted(nodes, flat)
-        here = (at < n) & (nodes[np.minimum(at, n - 1)] == flat)
-        of = np.repeat(np.arange(n), [len(o or ()) for o in lists])[here]
-        at = at[here]
-        first = np.searchsorted(of, np.arange(n + 1))
-        adjacent = [at[first[i] : first[i + 1]] for i in range(n)]
-        medoid = int((x @ x.mean(0)).argmax())
-        parent = np.arange(n)
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        seen = np.full(n, -1)
-        counts = np.zeros(n, np.int64)
-        for q in np.flatnonzero(rank == 0).tolist():
-            mine = x[q]
-            start = np.array([q] if q == medoid else [medoid, q])
-            seen[start] = q
-            known, sims = start, x[start] @ mine
-            open_ = np.ones(len(start), bool)
-            while True:  # greedy: the best unexpanded of the ``beam`` best, until all of them are expanded
-                top = np.argsort(-sims, kind="stable")[:beam]
-                fresh = top[open_[top]]
-                if not len(fresh):
-                    break
-                take = fresh[:4]
-                open_[take] = False
-                new = np.concatenate([adjacent[known[t]] for t in take])
-                new = np.unique(new[seen[new] != q])
-                if len(new):
-                    seen[new] = q
-                    known, sims = np.concatenate([known, new]), np.concatenate([sims, x[new] @ mine])
-                    open_ = np.concatenate([open_, np.ones(len(new), bool)])
-            while True:  # range expansion
-                front = np.flatnonzero(open_ & (sims >= threshold - slack))
-                if not len(front):
-                    break
-                open_[front] = False
-                new = np.concatenate([adjacent[known[t]] for t in front])
-                new = np.unique(new[seen[new] != q])
-                if len(new):
-                    seen[new] = q
-                    known, sims = np.concatenate([known, new]), np.concatenate([sims, x[new] @ mine])
-                    open_ = np.concatenate([open_, np.ones(len(new), bool)])
-            near = known[sims >= threshold - 1e-6]
-            near = near[near != q]
-            near = near[(raw[near] @ raw[q]) / (norms[near] * norms[q]) >= threshold]
-            counts[q] = weight[near].sum()
-            for j in near.tolist():
-                a, b = root(q), root(j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        roots = np.array([root(i) for i in range(n)]) if n else np.zeros(0, int)
-        out = np.flatnonzero((counts > 0) | (roots != np.arange(n)))
-        return pa.Table.from_arrays([pa.array(nodes[out], pa.int64()), pa.array(nodes[roots[out]], pa.int64()), pa.array(counts[out], pa.int64()), pa.array(rank[out] == 0)], schema=_FOUND)
+        n, members, inner = len(nodes), int((role != VISITOR).sum()), bool((role == MEMBER).any())
+        parent, counts, weights = np.arange(n), np.zeros(n), weight.astype(np.float64)
+        for s in range(0, members, rows):
+            e = min(s + rows, members)
+            first = s if inner else members
+            found = (raw[s:e] @ raw[first:].T) / (norms[s:e, None] * norms[first:]) >= threshold
+            if inner:  # each pair once
+                found[:, : e - s] &= np.tri(e - s, dtype=bool).T & ~np.eye(e - s, dtype=bool)
+            linked = np.flatnonzero(found.any(1))
+            if len(linked):
+                links = found.astype(np.float64)
+                counts[s:e] += links @ weights[first:]
+                counts[first:] += weights[s:e] @ links
+                for i in linked:
+                    _join(parent, np.append(np.flatnonzero(found[i]) + first, s + i))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+        out = np.flatnonzero(counts > 0)
+        return pa.table({"node": nodes[out], "root": nodes[parent[out]], "links": counts[out].astype(np.int64)})
 
     return run
 
@@ -218,7 +220,7 @@ def audit_recall(nodes: DataFrame, found: DataFrame, threshold: float, audited:
     if not sample:
         return 1.0
     true = dict(nodes.select("node", "label", "weight", "vector").mapInArrow(lean(_audit(sample, threshold)), "node long, links long").groupBy("node").agg(F.sum("links")).collect())
-    have = dict(found.filter(F.col("query") & F.col("node").isin([s[0] for s in sample])).groupBy("node").agg(F.sum("links")).collect())
+    have = dict(found.filter(F.col("node").isin([s[0] for s in sample])).groupBy("node").agg(F.sum("links")).collect())
     total = sum(true.values())
     return sum(min(true.get(n, 0), k) for n, k in have.items()) / total if total else 1.0
 
@@ -230,7 +232,24 @@ class VectorLinks:
         self.rows, self.recall = rows, recall
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM, work: Work | None = None) -> VectorLinks:
+def _centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
+    """Centroids of the groups above ``SHARD`` nodes, the largest first, as many as fit their size; a group without any is one cell."""
+    large = {r[0]: r[1] for r in nodes.groupBy("group").count().filter(F.col("count") > SHARD).orderBy(F.desc("count"), "group").limit(MOST_CLUSTERS // 2).collect()}
+    if not large:
+        return {}
+    wanted = F.broadcast(nodes.sparkSession.createDataFrame([(g,) for g in large], "group string"))
+    sample: dict[str, list] = {}
+    for r in nodes.select("node", "group", "vector").join(wanted, "group").orderBy("node").limit(SAMPLE).collect():
+        sample.setdefault(r.group, []).append(np.frombuffer(r.vector))
+    total, out = sum(large.values()), {}
+    for group, rows in sample.items():
+        k = min(-(-large[group] // SHARD), max(2, MOST_CLUSTERS * large[group] // total), len(rows))
+        if k > 1:
+            out[group] = _unit(fit_centroids(_unit(np.stack(rows)), k))
+    return out
+
+
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, work: Work | None = None) -> VectorLinks:
     """Links of columns vec_id, embedding and label."""
     work = work or Work(vectors.sparkSession, "vector-links")
     parsed = work.save(vectors.select("vec_id", "embedding", "label").mapInArrow(lean(_nodes), "vec_id long, label string, node long, vector binary"), "parsed")
@@ -238,35 +257,21 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, overlap: int
     least = F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"))
     facts = members.filter("node is not null").groupBy("node").agg(F.sum("copies").alias("weight"), F.min(least).alias("least"))
     firsts = parsed.filter("node is not null").groupBy("node").agg(F.max("label").alias("label"), F.max("vector").alias("vector"))
-    nodes = work.save(facts.join(firsts, "node").select("node", "weight", F.col("least.id").alias("least_id"), "label", "vector"), "nodes")
-    count, groups = nodes.agg(F.count(F.lit(1)), F.count_distinct("label", F.length("vector"))).first()
-
-    for attempt in range(3):
-        centroids: dict[int, np.ndarray] = {}
-        k = min(MOST_CLUSTERS, -(-count // (max(1, groups) * SHARD)))
-        if k > 1:
-            by_size: dict[int, list] = {}
-            for r in nodes.orderBy("node").limit(SAMPLE).select("vector").collect():
-                by_size.setdefault(len(r[0]) // 8, []).append(np.frombuffer(r[0]))
-            centroids = {d: fit_centroids(_unit(np.stack(rows)), k) for d, rows in by_size.items()}
-        dealt = work.save(nodes.mapInArrow(lean(_assign(centroids, overlap)), "shard string, rank int, node long"), f"dealt{attempt}")
-        sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("m"))
-        placed = join_sized(dealt, sizes, "shard", "m", overlap * max(1, count))
-        part = F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / MOST_SHARD))
-        assigned = work.save(placed.select(F.concat_ws("/", "shard", part.cast("string")).alias("shard"), "rank", "node"), f"assigned{attempt}")
-        edges = assigned.join(nodes.select("node", "vector"), "node").groupBy("shard").applyInArrow(_build(DEGREE, ALPHA, NEAREST), "node long, neighbour long")
-        lists = work.save(edges.groupBy("node").agg(F.collect_set("neighbour").alias("neighbours")), f"lists{attempt}")
-        halo = assigned.join(lists, "node").select("shard", F.explode("neighbours").alias("node"), F.lit(9).alias("rank"))
-        held = assigned.unionByName(halo).groupBy("shard", "node").agg(F.min("rank").alias("rank"))
-        full = held.join(nodes.select("node", "weight", "vector"), "node").join(lists, "node", "left")
-        found = work.save(full.groupBy("shard").applyInArrow(_search(threshold, beam, RANGE_SLACK), "node long, root long, links long, query boolean"), f"found{attempt}")
-        recall = audit_recall(nodes, found, threshold)
-        if recall >= LEAST_RECALL:
-            break
-        overlap, beam = 2 * overlap, 2 * beam
+    group = F.concat_ws("/", (F.length("vector") / 8).cast("long").cast("string"), "label").alias("group")
+    nodes = work.save(facts.join(firsts, "node").select("node", "weight", F.col("least.id").alias("least_id"), "label", "vector", group), "nodes")
+
+    centroids = _centroids(nodes)
+    homes = work.save(nodes.mapInArrow(lean(_home(centroids)), _HOMES), "homes")
+    cells = homes.groupBy("group", "cell", "split").agg(F.count(F.lit(1)).alias("m"), F.max("angle").alias("radius"))
+    layout = _Layout(centroids, [(r.group, r.cell, r.m, r.radius) for r in cells.filter(F.col("split") | (F.col("m") > MOST_SHARD)).collect()])
+    visitors = homes.mapInArrow(lean(_deal(layout, {}, threshold, True)), "shard string, role int").filter(F.col("role") == VISITOR)
+    chunks = {r[0]: -(-r[1] // MOST_SHARD) for r in visitors.groupBy("shard").count().filter(F.col("count") > MOST_SHARD).collect()}
+    dealt = homes.mapInArrow(lean(_deal(layout, chunks, threshold, False)), "shard string, role int, node long, weight long, vector binary")
+    found = work.save(dealt.groupBy("shard").applyInArrow(_compare(threshold), "node long, root long, links long"), "found")
+    recall = audit_recall(nodes, found, threshold)
 
     classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), work, "classes")
-    counts = found.filter("query").groupBy("node").agg(F.sum("links").alias("links"))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     linked = work.save(classes.join(counts, "node", "left").join(nodes.select("node", "weight", "least_id"), "node"), "linked")
     heads = linked.groupBy("label").agg(F.min("least_id").alias("component_id"), F.sum("weight").alias("size"))
     total = members.agg(F.sum("copies")).first()[0] or 0
