@@ -210,3 +210,11 @@ def test_oversize_shards_lose_no_links(frame, monkeypatch, shard, most):
     rows = pairs_with_a_hot_label()
     out = vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
     assert {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()} == linked(rows)
+
+
+def test_a_result_that_lost_links_is_an_error(frame, monkeypatch):
+    rows = pairs_with_a_hot_label()
+    compare = vector_links._compare
+    monkeypatch.setattr(vector_links, "_compare", lambda threshold: compare(threshold + 0.018))
+    with pytest.raises(RuntimeError, match="differ from brute force"):
+        vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
