@@ -218,3 +218,22 @@ def test_a_result_that_lost_links_is_an_error(frame, monkeypatch):
     monkeypatch.setattr(vector_links, "_compare", lambda threshold: compare(threshold + 0.018))
     with pytest.raises(RuntimeError, match="differ from brute force"):
         vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
+
+
+def clumps(versions=4, edits=100, seed=8):
+    """Tight clumps of more vectors than a bounded neighbour list holds; versions are linked to one another, edits at about 0.999."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=32)
+    rows = []
+    for v in range(versions):
+        version = base + 0.085 * rng.normal(size=32)
+        rows += [(edits * v + i, [float(x) for x in version + 0.01 * rng.normal(size=32)], 0) for i in range(edits)]
+    return rows
+
+
+def test_tight_clumps_stay_one_component(frame):
+    rows = clumps()
+    out = vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
+    expected = linked(rows)
+    assert {c for _, c in expected.values()} == {0} and min(n for n, _ in expected.values()) > 100
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()} == expected
