@@ -230,6 +230,29 @@ def test_html(source, text):
     assert html_text.html_to_text(source) == text
 
 
+SHOWN = [
+    ("<style>@media print{.a{display:none}} @media (max-width:600px){#b{display:none}} @media screen{.c{display:none}}</style><p class=a>a<p id=b>b<p class=c>c", "a\n\nb"),
+    ("<style media=print>p{display:none}</style><p>a", "a"),
+    ("<style>.tab{display:none} .tab.active{display:block}</style><div class='tab active'>a</div><div class=tab>b</div>", "a"),
+    ("<style>.tab{display:none} #x .tab:first-child{display:block}</style><div id=x><p class=tab>a<p class=tab>b</div>", "a"),
+    ("<style>.t{display:none} input:checked ~ .t{display:block}</style><div><p class=t>a</p><input type=radio checked><p class=t>b</p></div>", "b"),
+    ("<style>p{display:none !important} .x{display:block}</style><p class=x style='display:block'>a</p>b", "b"),
+    ("<style>.x{display:none}</style><p class=x style='display:block'>a</p><p class=x>b", "a"),
+    ("<style>.x{display:none; &.on{display:block}} p:hover{display:none}</style><p class='x on'>a<p class=x>b<p>c", "a\n\nc"),
+    ("<style>/* p{display:none} */ p{backface-visibility:hidden}</style><p>a<p style='backface-visibility:hidden'>b", "a\n\nb"),
+    ("<style>.off p:unheard-of(1){display:none} .g,.off>b{display:none}</style><div class=off><p>a</p><b>no</b><i class=g>no</i></div>", "a"),
+    ("<div style='visibility:hidden'>no <b style='visibility:visible'>a</b><img alt=no></div><p hidden style='display:block'>b<p hidden>no", "a\n\nb"),
+    ("x <math><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> y", "x a= 1 2 y"),
+    ("<svg><title>no</title><defs><text>no</text></defs><rect/><g><text x=1>Jan</text><text x=9>Feb</text></g>no</svg>z", "Jan Feb z"),
+    ("<svg><foreignObject><p>a</p></foreignObject><path/></svg><map name=m><area alt=no>b</map><svg><g><p>c", "a\n\nb\n\nc"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), SHOWN, ids=range(len(SHOWN)))
+def test_html_shows_what_a_browser_shows(source, text):
+    assert html_text.html_to_text(source) == text
+
+
 def test_html_table(frame):
     rows = [(1, "<p>a", "u"), (1, "<p>a", "u"), (2, None, None), (None, "b", "u")]
     out = html_text.extract_text(frame(rows, "page_id long, html string, text string")).collect()

@@ -3,8 +3,9 @@
 A tokenizer and a tree builder make a tree of each page: missing html, head and body are implied, a new block ends an open
 paragraph, items, terms, rows, cells and options end their open fellows, an end tag closes what is open inside its element, and
 one without an element is ignored. Rendering leaves out what a browser doesn't show: head, scripts, styles, templates, embedded
-objects, elements that are hidden by attribute, by an inline style or by a simple rule (tag, .class or #id) of the page's own
-style sheets, closed details but for their summary, and closed dialogs. White space collapses outside pre and textarea. Blocks
+objects, elements that are hidden by attribute, by an inline style or by the page's own style sheets (see ``styles``), closed details but
+for their summary, and closed dialogs. Visibility is inherited and may be overridden. Formulas give their text, drawings that of their text
+elements and foreign objects, but not what is drawn by reference only. White space collapses outside pre and textarea. Blocks
 begin on a new line, paragraphs, headings, lists, tables and the like stand between blank lines, list items have
 bullets or numbers and are indented by depth, and table cells are padded to their column's width (at most ``WIDEST``).
 
@@ -23,6 +24,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .styles import Sheet
 from .work import lean, slices
 
 WIDEST = 60
@@ -30,7 +32,11 @@ WIDEST = 60
 #: Fixed values of HTML: elements without content, with raw text, and with rules of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template title iframe noembed noframes noscript object embed audio video canvas svg math datalist map".split())
+UNSEEN = frozenset("head script style template title iframe noembed noframes noscript object embed audio video canvas datalist annotation annotation-xml".split())
+UNDRAWN = frozenset("desc defs metadata symbol clippath mask pattern marker".split())
+#: HTML may stand within these elements of a drawing or formula; elsewhere in it, these tags end it.
+HOSTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+LEAVES = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 HEAD = frozenset("base link meta script style title noscript template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset menu hr".split())
 BLOCK = SPACED | frozenset("html body address article aside details dialog dd div dt fieldset figcaption footer form header hgroup legend li main nav search section summary tr thead tbody tfoot caption option optgroup center dir".split())
@@ -46,17 +52,14 @@ SCOPE = frozenset("table ul ol dl td th caption select button object template ht
 
 _TOKEN = re.compile(r"<!--(.*?)(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|([^<]+|<)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"[.#]?[\w-]+\Z")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
-    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], foreign: bool = False) -> None:
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -96,9 +99,12 @@ def parse(source: str) -> Node:
                 _body(open_, root)
             elif open_[-1].tag == "html" and not any(n.tag == "body" for n in root.children if isinstance(n, Node)):
                 _start(open_, "head", {})
+            if tag in LEAVES:
+                while open_[-1].foreign and open_[-1].tag not in HOSTS:
+                    open_.pop()
             _imply(open_, tag)
             node = _start(open_, tag, attributes)
-            if tag in VOID:
+            if tag in VOID or node.foreign and m[3].rstrip().endswith("/"):
                 open_.pop()
             elif tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(source, at)
@@ -126,8 +132,9 @@ def parse(source: str) -> Node:
 
 
 def _start(open_: list[Node], tag: str, attributes: dict[str, str]) -> Node:
-    node = Node(tag, attributes)
-    open_[-1].children.append(node)
+    outer = open_[-1]
+    node = Node(tag, attributes, tag in ("svg", "math") or outer.foreign and outer.tag not in HOSTS)
+    outer.children.append(node)
     open_.append(node)
     return node
 
@@ -160,33 +167,13 @@ def _within_table(open_: list[Node], tag: str) -> None:
         _start(open_, "tr", {})
 
 
-def hidden_by_rules(root: Node) -> set[str]:
-    """Simple selectors that the page's style sheets hide."""
-    found: set[str] = set()
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        for child in node.children:
-            if isinstance(child, Node):
-                if child.tag == "style":
-                    for selectors, rules in _RULE.findall("".join(map(str, child.children))):
-                        if _HIDES.search(rules):
-                            found.update(s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
-                else:
-                    stack.append(child)
-    return found
-
-
-def _hidden(node: Node, rules: set[str]) -> bool:
-    if node.tag in UNSEEN:
-        return True
+def _hidden(node: Node, style: dict[str, str]) -> bool:
     a = node.attributes
-    if a:
-        if "hidden" in a or "style" in a and _HIDES.search(a["style"]) or node.tag == "input" and a.get("type", "").lower() == "hidden":
-            return True
-        if rules and ("#" + a.get("id", "") in rules or any("." + c in rules for c in a.get("class", "").split())):
-            return True
-    return node.tag == "dialog" and "open" not in a or bool(rules) and node.tag in rules
+    if node.tag in UNSEEN or node.foreign and node.tag in UNDRAWN or node.tag == "input" and a.get("type", "").lower() == "hidden":
+        return True
+    if "display" in style:
+        return style["display"] == "none"
+    return "hidden" in a or node.tag == "dialog" and "open" not in a
 
 
 class _Flow:
@@ -251,17 +238,25 @@ def _number(value: str | None, default: int, most: int = 1000) -> int:
     return min(most, int(value)) if value and value.strip().isdigit() else default
 
 
+def _placed(node: Node) -> bool:
+    """Does a drawing's text start at a place of its own?"""
+    return node.tag == "text" or node.tag == "tspan" and not node.attributes.keys().isdisjoint(("x", "y", "dy"))
+
+
 def render(root: Node) -> str:
-    rules = hidden_by_rules(root)
+    sheet = Sheet(root)
     flows = [_Flow()]
     tables: list[tuple[Node, list]] = []
     lists: list[list] = []
     pre = 0
+    visible, drawn = [True], [""]  # of the open elements; drawn: "svg" where text isn't drawn
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         item, leaving = stack.pop()
         flow = flows[-1]
         if isinstance(item, str):
+            if not visible[-1] or drawn[-1] == "svg":
+                continue
             if pre:
                 flow.inline.append(item)
             elif item:
@@ -269,7 +264,13 @@ def render(root: Node) -> str:
             continue
         tag = item.tag
         if not leaving:
-            if _hidden(item, rules):
+            style = sheet.style(item)
+            if _hidden(item, style):
+                continue
+            seen = style["visibility"] == "visible" if "visibility" in style else visible[-1] and tag != "mphantom"
+            if tag in VOID and tag != "hr" and not seen:
+                if tag == "br":
+                    flow.end_line()
                 continue
             if tag == "br":
                 if pre:
@@ -306,11 +307,21 @@ def render(root: Node) -> str:
             if tag in ("li", "blockquote", "dd") or tag in ("td", "th") and tables and tables[-1][1]:
                 flows.append(_Flow(item))
             stack.append((item, True))
+            visible.append(seen)
+            drawn.append({"svg": "svg", "text": "text", "foreignobject": ""}.get(tag, drawn[-1]) if item.foreign else "")
             children = item.children
+            if item.foreign:
+                if drawn[-1] == "text" and _placed(item) and seen:
+                    flow.text(" ")
+                if tag in ("mfrac", "mroot", "mtr", "mtable"):
+                    children = [x for c in children for x in (" ", c)]
             if tag == "details" and "open" not in item.attributes:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             stack += [(c, False) for c in reversed(children)]
             continue
+        if drawn.pop() == "text" and _placed(item) and visible[-1]:
+            flow.text(" ")
+        visible.pop()
         if tag in ("pre", "textarea"):
             pre -= 1
             text = "".join(flow.inline)
