@@ -53,6 +53,16 @@ def test_changed_chunks_are_found(frame):
     assert not token_store.TokenStore(store.chunks, store.recipes.withColumn("n_tokens", F.lit(9).cast("long")), store.manifest, store.wide).verify()
 
 
+def test_missing_recipes_are_an_error(frame):
+    store = token_store.write_store(frame([(k, f"text {k}") for k in range(40)], DOC), PATH)
+    short = token_store.TokenStore(store.chunks, store.recipes.filter("doc_id <> 7"), store.manifest, store.wide)
+    gone = token_store.TokenStore(store.chunks, store.recipes.filter(F.shiftright("recipe", 33) > 0), store.manifest, store.wide)
+    for lost in (short, gone):
+        with pytest.raises(ValueError, match="manifest"):
+            lost.documents().collect()
+    assert store.documents().count() == 40
+
+
 def test_cuts_depend_on_content_alone():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50_000, 20_000).astype("<u4")

@@ -5,7 +5,7 @@ hash's leading bits are zero, so equal passages give equal chunks wherever they
 of its bytes. One shuffle brings chunks to the owner of their digest, where each is written once; map tasks
 leave out chunks that they have sent before, so a common chunk costs each task one row. A recipe lists the digests and
 lengths of a document's chunks and their Merkle root; recipes are written in ascending order of doc_id, a manifest with the
-Merkle root of every recipe file beside them. Reading recomputes digests and roots and fails where they differ.
+Merkle root of every recipe file beside them. Reading recomputes digests, roots and the manifest and fails where they differ.
 
 The CRC-32 of a document is put together from those of its stored chunks: CRC-32 is linear, so a chunk's CRC is shifted by
 the bytes after it, and the shifted CRCs are added (XOR) in Spark. No document needs to come together in one task.
@@ -222,15 +222,18 @@ class TokenStore:
         self.chunks, self.recipes, self.manifest, self.wide = chunks, recipes, manifest, wide
 
     def documents(self) -> DataFrame:
-        """From the files: doc_id, start, n_tokens, ids_crc32. Fails where a chunk or recipe isn't what its name says."""
+        """From the files: doc_id, start, n_tokens, ids_crc32. Fails where a chunk or recipe isn't what its name says, or recipe files aren't those of the manifest."""
         spark = self.chunks.sparkSession
         facts = self.chunks.mapInArrow(lean(_chunk_facts(self.wide)), "digest binary, stored long, crc long")
         refs = self.recipes.mapInArrow(lean(_references), "digest binary, recipe long, length long, after long")
         found = refs.join(facts, "digest").filter("stored = length").select("recipe", "length", "after", "crc")
         crcs = found.mapInArrow(lean(_shifted), "recipe long, length long, crc long").groupBy("recipe").agg(F.bit_xor("crc").alias("crc"), F.sum("length").alias("found"))
         own = self.recipes.select("doc_id", "recipe", "n_tokens", F.shiftright("recipe", 33).alias("part"))
+        now = self._roots()
+        if now != sorted(map(tuple, self.manifest.collect())):
+            raise ValueError("the recipe files aren't those of the manifest")
         before, starts = 0, []
-        for part, n in sorted(own.groupBy("part").agg(F.sum("n_tokens")).collect()):  # a row for each recipe file
+        for part, _, n, _ in now:
             starts.append((part, before))
             before += n
         offsets = spark.createDataFrame(starts, "part long, before long")
@@ -253,10 +256,14 @@ class TokenStore:
 
         return rows.mapInArrow(lean(joined), "recipe long, ids array<long>").join(wanted.select("recipe", "doc_id"), "recipe").select("doc_id", "ids")
 
+    def _roots(self) -> list[tuple]:
+        """The manifest of the recipe files as they are now: a row for each file."""
+        now = self.recipes.select("recipe", "n_tokens", "root").groupBy(F.shiftright("recipe", 33).alias("part")).applyInArrow(_manifest_group, "part long, documents long, n_tokens long, root binary")
+        return sorted(map(tuple, now.collect()))
+
     def verify(self) -> bool:
         """True if the recipe files still have the roots of the manifest."""
-        now = self.recipes.select("recipe", "n_tokens", "root").groupBy(F.shiftright("recipe", 33).alias("part")).applyInArrow(_manifest_group, "part long, documents long, n_tokens long, root binary")
-        return now.exceptAll(self.manifest).isEmpty() and self.manifest.exceptAll(now).isEmpty()
+        return self._roots() == sorted(map(tuple, self.manifest.collect()))
 
 
 def _manifest_group(table: pa.Table) -> pa.Table:
