@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import exact_dedup, ngram_join, substring_dedup, vector_links
@@ -237,3 +238,10 @@ def test_tight_clumps_stay_one_component(frame):
     expected = linked(rows)
     assert {c for _, c in expected.values()} == {0} and min(n for n, _ in expected.values()) > 100
     assert {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()} == expected
+
+
+def test_links_count_at_both_ends():
+    rows = [(0, 5, 2, [1.0, 0.0]), (2, 6, 3, [1.0, 0.1]), (2, 7, 4, [0.0, 1.0])]
+    table = pa.table({"role": pa.array([r[0] for r in rows], pa.int32()), "node": [r[1] for r in rows], "weight": [r[2] for r in rows], "vector": [np.array(r[3]).tobytes() for r in rows]})
+    out = vector_links._compare(0.98)(table).to_pylist()
+    assert {(r["node"], r["root"], r["links"]) for r in out} == {(5, 5, 3), (6, 5, 2)}
