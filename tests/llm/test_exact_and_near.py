@@ -245,3 +245,9 @@ def test_links_count_at_both_ends():
     table = pa.table({"role": pa.array([r[0] for r in rows], pa.int32()), "node": [r[1] for r in rows], "weight": [r[2] for r in rows], "vector": [np.array(r[3]).tobytes() for r in rows]})
     out = vector_links._compare(0.98)(table).to_pylist()
     assert {(r["node"], r["root"], r["links"]) for r in out} == {(5, 5, 3), (6, 5, 2)}
+
+
+def test_very_large_and_small_vectors_link(frame):
+    rows = [(1, [1.0, 2.0], 0), (2, [1e200, 2e200], 0), (3, [1e-200, 2e-200], 0), (4, [1.7e308, -1.7e308], 0), (5, [5e-324, -5e-324], 0), (6, [0.0, 0.0], 0)]
+    out = vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int")).rows.collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}

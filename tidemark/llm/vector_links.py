@@ -1,6 +1,7 @@
 """Near-duplicate vectors by cosine: exact, by comparing blocks of vectors that the geometry can't tell apart.
 
-Vectors equal in label and in all components are one node with a weight, so copies are never expanded. A label's nodes of one dimension
+Vectors equal in label and in all components are one node with a weight, so copies are never expanded. Vectors are scaled by their
+largest component, so that no norm overflows or underflows. A label's nodes of one dimension
 are a group. Groups above ``SHARD`` nodes are dealt to cells by the nearest of their own centroids, which are fitted on a bounded sample; a cell above
 ``MOST_SHARD`` nodes is split by hash into parts. A node visits every part of every earlier cell of its group that may hold a vector within the
 threshold: by the triangle inequality it must be within the threshold's angle of the cell's radius, and within the threshold's chord of the
@@ -46,9 +47,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = data = None
             if v and label is not None and None not in v:
                 x = np.array(v, np.float64)
-                if np.isfinite(x).all() and x.any() and np.isfinite(x @ x) and x @ x > 0:
-                    data = (x + 0.0).tobytes()
-                    node = int.from_bytes(hashlib.blake2b(data + repr(label).encode(), digest_size=8).digest(), "big", signed=True)
+                if np.isfinite(x).all() and x.any():
+                    node = int.from_bytes(hashlib.blake2b((x + 0.0).tobytes() + repr(label).encode(), digest_size=8).digest(), "big", signed=True)
+                    data = np.ldexp(x + 0.0, -np.frexp(np.abs(x).max())[1]).tobytes()  # by a power of two, so nothing is rounded
             nodes.append(node)
             vectors.append(data)
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label").cast(pa.string()), pa.array(nodes, pa.int64()), pa.array(vectors, pa.binary())], ["vec_id", "label", "node", "vector"])
