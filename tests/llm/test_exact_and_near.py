@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import exact_dedup, ngram_join, substring_dedup, vector_links
-from tidemark.llm.components import components
+from tidemark.llm.components import components, star_components
 from tidemark.llm.work import Work
 
 DOC = "doc_id long, text string"
@@ -65,6 +65,14 @@ def test_stages_keep_columns_and_settle_ties(frame):
     assert out.columns == ["doc_id", "text", "sha", "node", "kept"] and sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
 
 
+def test_clashing_columns_pass(frame):
+    schema = "doc_id long, text string, __own long, __Doc_Id long, own_set string, KEPT_ID long, kept_node long, hot int, __node long"
+    rows = [(1, "a b c d e f", 7, 8, "o", 9, 10, 1, 2), (1, "a b c d e f", 7, 8, "o", 9, 10, 1, 2), (2, "A b c d e f", 17, 18, "p", 19, 20, 2, 3)]
+    for drop, kept in ((ngram_join.drop_near_copies, 1), (exact_dedup.drop_exact_copies, 2)):
+        out = drop(frame(rows, schema))
+        assert out.columns == frame([], schema).columns and [tuple(r) for r in out.collect()] == [x for x in dict.fromkeys(rows) if x[0] == kept]
+
+
 def near_rows():
     base = texts(25, 3, 3000)
     rng = np.random.default_rng(4)
@@ -100,10 +108,46 @@ def test_similar_documents_match_brute_force(frame):
 def test_blocks_give_what_one_block_gives(frame, monkeypatch):
     rows = near_rows() + [(1000 + i, "a b c d e f g h i j k l m n o p q r s t u v " + f"x{i}") for i in range(30)]
     whole = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(rows, DOC)).collect())
-    monkeypatch.setattr(ngram_join, "LEAST_BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    monkeypatch.setattr(ngram_join, "PROFILE", 12)
+    monkeypatch.setattr(ngram_join, "PREFIX_NODES", 9)
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(rows, DOC)).collect()) == whole
 
 
+def template_pages(n, seed=5):
+    """Pages of one template at a similarity of some 0.6: candidates, but none links with another."""
+    rng = np.random.default_rng(seed)
+    frame = [f"t{k}" for k in range(120)]
+    return [(i, " ".join(frame + [f"p{x}" for x in rng.integers(0, 1 << 40, 40)])) for i in range(n)]
+
+
+def test_template_pages_part(spark, frame):
+    work = Work(spark, "template")
+    rows = template_pages(600) + [(1000 + i, " ".join(f"c{k}" for k in range(60)) + f" v{i}") for i in range(150)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(rows, DOC), work=work).collect()}
+    assert all(got[i] == (i, 0) for i in range(600)) and all(got[1000 + i] == (1000, 149) for i in range(150))
+    before, after = (spark.read.parquet(f"{work.path}/{x}") for x in ("candidates-stars", "placed"))
+    assert before.count() > 500 and after.count() == 150 and after.agg({"m": "max"}).first()[0] == 150
+
+
+def test_repeated_and_null_ids_fetch_their_own_sets(frame):
+    rows = [(None if k % 2 else 5, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {k}") for k in range(40)] + [(None, f"other {k} words here now {k}") for k in range(20)]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.similar_documents(frame(rows, DOC)).collect())
+    assert got == {(None, 5, 39): 20, (5, 5, 39): 20, (None, None, 0): 20}
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 10, 37])
+def test_prefixes_of_linked_sets_meet(n):
+    rng = np.random.default_rng(n)
+    for _ in range(50):
+        a = set(range(n))
+        b = set(rng.permutation(n)[: n - int(rng.integers(0, n))].tolist()) | set(range(n, n + int(rng.integers(0, 4))))
+        if len(a & b) >= 0.8 * len(a | b):
+            order = {x: k for k, x in enumerate(rng.permutation(n + 4).tolist())}
+            first = [set(sorted(x, key=order.get)[: ngram_join.prefix_size(len(x), 0.8)]) for x in (a, b)]
+            assert first[0] & first[1]
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_for(0.8, 0.9995, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
@@ -148,6 +192,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Work(spark, "test"), "c").collect()}
     assert out == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    rng = np.random.default_rng(2)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (380, 2))]
+    least = {x: x for e in edges for x in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    out = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Work(spark, "test"), "c").collect()}
+    assert out == {x: least[x] for e in edges if e[0] != e[1] for x in e}
+    stars = [e for a, b in edges for e in ((a, min(a, b)), (b, min(a, b)), (min(a, b), min(a, b)))]
+    out = {r.node: r.label for r in star_components(spark.createDataFrame(stars, "node long, root long"), Work(spark, "test"), "s").collect()}
+    assert out == least
+    assert components(spark.createDataFrame([(7, 7)], "a long, b long"), Work(spark, "test"), "c").count() == 0
 
 
 def vectors():

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .work import Work, lean, shuffle_partitions
+from .work import Work, fresh, lean, shuffle_partitions
 
 #: Distinct texts in a bucket before it splits.
 CAPACITY = 4096
@@ -183,14 +183,14 @@ def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
 
     Where no doc_id repeats, doc_id alone names the rows; else doc_id and text do.
     """
-    kept = exact_groups(docs, **options).filter("kept").select(F.col("doc_id").alias("__doc_id"), F.unhex("text_sha256").alias("__sha"))
-    columns = docs.columns
-    same_id = F.col("doc_id").eqNullSafe(F.col("__doc_id"))
+    own, kept_id, kept_sha = (fresh(docs, x) for x in ("own_sha", "kept_id", "kept_sha"))
+    kept = exact_groups(docs, **options).filter("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(kept_sha))
+    same_id = F.col("doc_id").eqNullSafe(F.col(kept_id))
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return docs.join(kept, same_id, "left_semi")
-    hashed = docs.withColumn("__own", F.unhex(F.sha2(F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8"), 256)))
-    joined = hashed.join(kept, same_id & (F.col("__own") == F.col("__sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__own"]).select(*columns)
+    hashed = docs.withColumn(own, F.unhex(F.sha2(F.encode(ascii_lower(F.coalesce("text", F.lit(""))), "UTF-8"), 256)))
+    joined = hashed.join(kept, same_id & (F.col(own) == F.col(kept_sha)), "left_semi")
+    return joined.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def ascii_lower(column):

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .work import Work, lean, slices, tree_sum
+from .work import Work, fresh, lean, slices, tree_sum
 
 FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 3.0, 1e-3, 4000, 20
 HELD_OUT, FOLDS, CUT = 0, 5, 0.3
@@ -175,5 +175,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, features: int = FEATURES,
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with all their columns. Rows that share a doc_id stay if any of them is good."""
-    good = quality_scores(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left_semi")
+    name = fresh(docs, "good_id")
+    good = quality_scores(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Used only where the session names no folder (tests on one machine).
+#: Used only where the session names no folder and runs in one process (tests on one machine).
 LOCAL_DEFAULT = "/tmp/checkpoints/tidemark"
 
 
@@ -25,6 +26,8 @@ class Work:
     def __init__(self, spark: SparkSession, name: str) -> None:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(LOCAL_DEFAULT)
             root = LOCAL_DEFAULT
         # Batches of whole texts: the session's own bound stays if it is lower.
@@ -51,6 +54,14 @@ class Work:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` hasn't, in whatever case: ``stem``, or that with underscores after it."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -90,11 +101,12 @@ def join_sized(rows: DataFrame, facts: DataFrame, key: str, size: str, total: in
     The keys with the most rows are looked up in a broadcast table of at most HOT_KEYS rows, the others by a shuffle.
     """
     hot = F.col(size) > max(HOT_ROWS, total // HOT_KEYS)
-    large = facts.filter(hot).withColumn("__hot", F.lit(True))
+    mark = fresh(rows.join(facts, key), "hot")
+    large = facts.filter(hot).withColumn(mark, F.lit(True))
     first = rows.join(F.broadcast(large), key, "left")
-    names = [c for c in first.columns if c != "__hot"]
-    rest = first.filter("__hot is null").select(*rows.columns).join(facts.filter(~hot), key, "left")
-    return first.filter("__hot").select(*names).unionByName(rest.select(*names))
+    names = [c for c in first.columns if c != mark]
+    rest = first.filter(F.col(mark).isNull()).select(*rows.columns).join(facts.filter(~hot), key, "left")
+    return first.filter(F.col(mark)).select(*names).unionByName(rest.select(*names))
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
