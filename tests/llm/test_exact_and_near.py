@@ -271,12 +271,28 @@ def test_oversize_shards_lose_no_links(frame, monkeypatch, shard, most):
 
 def test_a_result_that_lost_links_is_an_error(frame, monkeypatch):
     rows = pairs_with_a_hot_label()
-    compare = vector_links._compare
+    compare, search = vector_links._compare, vector_links._search
+    monkeypatch.setattr(vector_links, "_search", lambda threshold, beam: search(threshold + 0.018, beam))
+    out = vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
+    assert len(out.recalls) == 3 and out.recalls[0] < 0.9 and {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()} == linked(rows)
     monkeypatch.setattr(vector_links, "_compare", lambda threshold: compare(threshold + 0.018))
     with pytest.raises(RuntimeError, match="differ from brute force"):
         vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
 
 
+@pytest.mark.parametrize("n", [2, 3, 41, 700])
+def test_graph_search_finds_what_is_in_range(n):
+    rng = np.random.default_rng(n)
+    centres = rng.normal(size=(max(1, n // 20), 24))
+    x = vector_links._unit(np.repeat(centres, 20, 0)[:n] + 0.05 * rng.normal(size=(min(n, 20 * len(centres)), 24)))
+    a, b = vector_links.build_edges(x, vector_links.DEGREE)
+    assert np.bincount(a).max() <= 3 * vector_links.DEGREE and (a != b).all()
+    lists = vector_links._lists(np.arange(len(x)), pa.chunked_array([pa.array([sorted({int(t) for t in b[a == i]}) for i in range(len(x))], pa.list_(pa.int64()))]))
+    found = vector_links.range_search(x, lists, vector_links.medoids(x, 8), np.arange(len(x)), 0.975, vector_links.BEAM)
+    true = x @ x.T >= 0.975
+    assert not (found & ~true).any() and found.sum() >= 0.995 * true.sum()
+
+
 def clumps(versions=4, edits=100, seed=8):
     """Tight clumps of more vectors than a bounded neighbour list holds; versions are linked to one another, edits at about 0.999."""
     rng = np.random.default_rng(seed)
@@ -293,7 +309,7 @@ def test_tight_clumps_stay_one_component(frame):
     out = vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int"))
     expected = linked(rows)
     assert {c for _, c in expected.values()} == {0} and min(n for n, _ in expected.values()) > 100
-    assert {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()} == expected
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.rows.collect()} == expected and out.recalls == [1.0]
 
 
 def test_links_count_at_both_ends():

@@ -49,4 +49,4 @@ def star_components(stars: DataFrame, work: Work, name: str) -> DataFrame:
     sizes = first.groupBy("first").agg(F.count(F.lit(1)).alias("size"))
     facts = sizes.join(settled.withColumnRenamed("node", "first"), "first", "left")
     joined = join_sized(first, facts, "first", "size", held.count())
-    return joined.select("node", F.coalesce("label", "first").alias("label"))
+    return work.save(joined.select("node", F.coalesce("label", "first").alias("label")), f"{name}-labels")

@@ -8,7 +8,8 @@ of a document's hash name its block; an epoch is a permutation of the source's b
 budget holds, then the first blocks of one more, then the first documents of the block where the budget ends.
 
 Scale: one pass sums tokens by (source, block); sections and permutations run on these sums, at most ``2 ** BLOCK_BITS`` rows for
-each source. Only the block where a budget ends is ordered by document. The plan is joined back by broadcast while it is
+each source. The block where a budget ends is cut by hash once more, and of its ``2 ** BLOCK_BITS`` parts only the one where the
+budget ends is ordered by document. The plan is joined back by broadcast while it is
 below ``BROADCAST_ROWS`` rows, else by a shuffle on source and block, which deals a source out over all its blocks.
 
 Defined results: a null source is a source; documents without words weigh nothing and come with their block; a source without
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .work import Work
+from .work import Work, fresh
 
 EVENNESS, MAX_REPEATS, SEED = 0.95, 4.0, 17
 GRID_BITS, SECTION_BITS, BLOCK_BITS = 20, 5, 10
@@ -111,22 +112,31 @@ def plan_mix(docs: DataFrame, budget: int | None = None, evenness: float = EVENN
 
     ends = planned.filter("left is not null").select(F.col("source").alias("__s"), F.col("block").alias("__b"), "left")
     edge = narrow.join(F.broadcast(ends) if count <= BROADCAST_ROWS else ends, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")))
-    upto = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("u"))  # rows of one hash together
-    cuts = edge.withColumn("upto", upto).filter("upto <= left").groupBy("source", "block").agg(F.max("u").alias("cut"))
+    edge = edge.select("source", "block", "left", "n_tokens", "u", F.shiftright("u", HASH_BITS - 2 * BLOCK_BITS).alias("part"))
+    parts = edge.groupBy("source", "block", "part").agg(F.sum("n_tokens").alias("tokens"), F.max("u").alias("last"), F.max("left").alias("left"))
+    parts = parts.withColumn("before", F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("part")) - F.col("tokens"))
+    parts = work.save(parts.filter("before <= left"), "parts")
+    whole = parts.filter("before + tokens <= left").select("source", "block", F.col("last").alias("u"))
+    at = parts.filter("before + tokens > left").select(F.col("source").alias("__s"), F.col("block").alias("__b"), F.col("part").alias("__p"), "before")
+    inner = edge.join(F.broadcast(at) if count <= BROADCAST_ROWS else at, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")) & (F.col("part") == F.col("__p")))
+    upto = F.col("before") + F.sum("n_tokens").over(Window.partitionBy("source", "block", "part").orderBy("u"))  # rows of one hash together
+    inner = inner.withColumn("upto", upto).filter("upto <= left").select("source", "block", "u")
+    cuts = whole.unionByName(inner).groupBy("source", "block").agg(F.max("u").alias("cut"))
     cuts = cuts.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "cut")
     final = planned.join(cuts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")), "left").select("source", "block", "copies", "cut")
     return sources, work.save(final, "plan").filter("copies > 0 or cut is not null")
 
 
-def _copies(docs: DataFrame, blocks: DataFrame, seed: int) -> DataFrame:
-    """``docs`` with __u, __block and __epoch, a row for each time a document is taken."""
-    plan = blocks.withColumnsRenamed({"source": "__source", "block": "__b", "copies": "__copies", "cut": "__cut"})
+def _copies(docs: DataFrame, blocks: DataFrame, seed: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with a row for each time a document is taken, and the names of the columns that hold its block and epoch."""
+    u, block, epoch, times, source, key, copies, cut = (fresh(docs, x) for x in ("hash_", "block", "epoch", "times", "of_source", "of_block", "copies", "cut"))
+    plan = blocks.withColumnsRenamed({"source": source, "copies": copies, "cut": cut}).withColumnRenamed("block", key)
     if plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    hashed = docs.withColumn("__u", document_hash(seed)).withColumn("__block", F.shiftright("__u", HASH_BITS - BLOCK_BITS))
-    joined = hashed.join(plan, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__block") == F.col("__b")))
-    times = F.col("__copies") + F.coalesce((F.col("__u") <= F.col("__cut")).cast("int"), F.lit(0))
-    return joined.withColumn("__times", times).filter("__times > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0), F.col("__times") - 1)))
+    hashed = docs.withColumn(u, document_hash(seed)).withColumn(block, F.shiftright(u, HASH_BITS - BLOCK_BITS))
+    joined = hashed.join(plan, F.col("source").eqNullSafe(F.col(source)) & (F.col(block) == F.col(key)))
+    taken = joined.withColumn(times, F.col(copies) + F.coalesce((F.col(u) <= F.col(cut)).cast("int"), F.lit(0))).filter(F.col(times) > 0)
+    return taken.withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(times) - 1))), block, epoch
 
 
 def mixed_order(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
@@ -135,11 +145,11 @@ def mixed_order(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     The mix is read in ascending (epoch, block_order, doc hash): blocks of all sources follow one another in random order.
     """
     _, blocks = plan_mix(docs, seed=seed, **options)
-    taken = _copies(docs.select("doc_id", "source", "text"), blocks, seed)
-    return taken.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), F.col("__epoch").alias("epoch"), F.col("__block").alias("block"), block_order(seed, F.col("__epoch"), F.col("source"), F.col("__block")).alias("block_order"))
+    taken, block, epoch = _copies(docs.select("doc_id", "source", "text"), blocks, seed)
+    return taken.select("doc_id", "source", word_count(F.col("text")).alias("n_tokens"), F.col(epoch).alias("epoch"), F.col(block).alias("block"), block_order(seed, F.col(epoch), F.col("source"), F.col(block)).alias("block_order"))
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
     _, blocks = plan_mix(docs.select("doc_id", "source", "text"), seed=seed, **options)
-    return _copies(docs, blocks, seed).select(*docs.columns)
+    return _copies(docs, blocks, seed)[0].select(*docs.columns)

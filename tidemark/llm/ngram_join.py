@@ -296,7 +296,7 @@ def similar_documents(docs: DataFrame, size: int = SIZE, threshold: float = THRE
     wanted = candidates.select("node").join(nodes, "node").select("node", F.col("least_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))).select("text", "node")
     sets = work.save(texts.mapInArrow(lean(_payloads(size)), "node long, grams binary"), "sets", compression="snappy")
-    sized = _with_sizes(candidates, total)
+    sized = work.save(_with_sizes(candidates, total), "sized")
     large = sized.filter(F.col("m") > BLOCK)
     parted = split_by_prefixes(sets.join(large.select("node", F.col("label").alias("comp"), "m"), "node").select("comp", "m", "node", "grams"), threshold, work)
     placed = work.save(sized.filter(F.col("m") <= BLOCK).unionByName(_with_sizes(parted, total)), "placed")
