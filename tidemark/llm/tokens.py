@@ -67,7 +67,7 @@ class Encoder:
     def _new(self, word: str, lead: str = "Ġ") -> bytes:
         """Ids of ``lead`` (a space, shown as Ġ, or nothing) and ``word``."""
         late, known = self.late, self.known
-        key = word if lead else "\n" + word
+        key = word if lead else " " + word  # no word holds a space
         if (ids := late.get(key)) is not None:
             if len(known) < CACHE_WORDS:
                 known[key] = ids
@@ -75,7 +75,7 @@ class Encoder:
         if word.isalpha() and (word.isascii() or max(word) <= "ɏ"):
             ids = self._letters(lead, word)
         elif (body := word.rstrip(_MARKS)).isalpha() and (body.isascii() or max(body) <= "ɏ"):
-            own, mark = body if lead else "\n" + body, word[len(body) :]
+            own, mark = body if lead else " " + body, word[len(body) :]
             if (ids := known.get(own) or late.get(own)) is None:
                 ids = late[own] = self._letters(lead, body)
             if (after := self.marks.get(mark)) is None:
@@ -99,7 +99,7 @@ class Encoder:
         return ids
 
     def _word(self, word: str, lead: str) -> bytes:
-        return self.known.get(word if lead else "\n" + word) or self._new(word, lead)
+        return self.known.get(word if lead else " " + word) or self._new(word, lead)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         out = []
