@@ -1,11 +1,14 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens, by hierarchical residual packing.
 
 Each document is encoded and ends with an end id. Only a document longer than a sequence is cut, into whole sequences and, in
-front of them, a first piece that may be shorter. Pieces that fill a sequence are done. The rest go through rounds: every
-task packs its items best-fit, the longest first, and emits bins that lack at most ``slack`` tokens; the underfull bins of
-``fan_in`` tasks become the items of one task in the next round, each bin as one item of its fill, until one task is left (or
-the underfull bins are too many for one task: then each task keeps at most ``task_bins``, and the last round ends there).
-Pieces travel as rows of a few numbers, texts and ids never. Every round is a written table.
+front of them, a first piece that may be shorter. Every task packs its pieces best-fit, the longest first, and emits bins that lack at most
+``slack`` tokens. The underfull bins of ``fan_in`` tasks become the items of one task in the next round, each bin as one item of its
+fill, until one task is left, or the next one would hold more than ``task_bins`` items.
+
+Only (bin, fill) travels between rounds; texts, ids and pieces never do. A round's table says into which bin, and where in it, each of its items went;
+at the end these tables are put together from the last to the first, and the pieces are joined with the outcome. Every round is a written table.
+
+Where rounds end because of ``task_bins``, as many tasks as are left have packed up to that many items each; README has what that costs.
 
 Defined results: a null or empty text is a document of the end id alone; a null doc_id stays null; repeated rows are
 packed each on its own; an empty table gives no rows; further columns are ignored.
@@ -28,8 +31,10 @@ LENGTH, END_ID, SLACK, FAN_IN, TASK_BINS = 1024, 2, 4, 8, 250_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-ROUND_SCHEMA = PIECE_SCHEMA + ", bin long, fill int, offset long, done boolean, task int"
-_ROUND = pa.schema([*_PIECE, ("bin", pa.int64()), ("fill", pa.int32()), ("offset", pa.int64()), ("done", pa.bool_()), ("task", pa.int32())])
+PLACED_SCHEMA = PIECE_SCHEMA + ", bin long, fill int, offset long, task int"
+_PLACED = pa.schema([*_PIECE, ("bin", pa.int64()), ("fill", pa.int32()), ("offset", pa.int64()), ("task", pa.int32())])
+ROUND_SCHEMA = "item long, bin long, fill int, offset long, task int"
+_ROUND = pa.schema([("item", pa.int64()), ("bin", pa.int64()), ("fill", pa.int32()), ("offset", pa.int64()), ("task", pa.int32())])
 
 
 def cut_lengths(total: int, length: int) -> list[int]:
@@ -82,39 +87,31 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, capacity - np.array(left, np.int64)
 
 
-def _round(number: int, length: int, slack: int, last: bool, limit: int):
-    """Packs the bins (or, in round 0, the pieces) of a task, ``limit`` at most at a time."""
-
-    def pack(table: pa.Table, task: int, first: int) -> tuple[pa.RecordBatch, int]:
-        if number:
-            held, inverse = np.unique(table.column("bin").to_numpy(), return_inverse=True)
-            fills = np.zeros(len(held), np.int64)
-            fills[inverse] = table.column("fill").to_numpy()
-            inner = table.column("offset").to_numpy()
-        else:
-            fills = table.column("length").to_numpy()
-            inverse, inner = np.arange(len(fills)), np.zeros(len(fills), np.int64)
-        bins, offsets, full = best_fit(fills, length)
-        of = bins[inverse]
-        ids = (number << 58) + (task << 34) + first + of
-        columns = [table.column(f.name).combine_chunks() for f in _PIECE]
-        columns += [pa.array(ids, pa.int64()), pa.array(full[of], pa.int32()), pa.array(offsets[inverse] + inner, pa.int64())]
-        columns += [pa.array(np.ones(len(of), bool) if last else full[of] >= length - slack), pa.array(np.full(len(of), task), pa.int32())]
-        return pa.Table.from_arrays(columns, schema=_ROUND).combine_chunks().to_batches()[0], first + len(full)
+def _round(number: int, length: int, limit: int):
+    """Packs a task's pieces (round 0: length, with the other columns of a piece) or bins (item, fill), ``limit`` at most at a time."""
+    schema, size = (_ROUND, "fill") if number else (_PLACED, "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, held, rows, first = TaskContext.get().partitionId(), [], 0, 0
+        task, first = TaskContext.get().partitionId(), 0
+
+        def pack(table: pa.Table) -> tuple[pa.RecordBatch, int]:
+            bins, offsets, full = best_fit(table.column(size).to_numpy(), length)
+            made = {"bin": (number << 58) + (task << 34) + first + bins, "fill": full[bins], "offset": offsets, "task": np.full(len(bins), task)}
+            columns = [pa.array(made[f.name], f.type) if f.name in made else table.column(f.name).combine_chunks() for f in schema]
+            return pa.Table.from_arrays(columns, schema=schema).combine_chunks().to_batches()[0], len(full)
+
+        held, rows = [], 0
         for b in batches:
-            if b.num_rows:
-                held.append(b)
-                rows += b.num_rows
-            # A bin's rows may be spread over batches, so only round 0 may begin anew.
-            if not number and rows >= limit:
-                out, first = pack(pa.Table.from_batches(held), task, first)
-                yield out
-                held, rows = [], 0
-        if held:
-            yield pack(pa.Table.from_batches(held), task, first)[0]
+            for at in range(0, b.num_rows, limit):
+                part = b.slice(at, limit)
+                if rows + part.num_rows > limit:
+                    out, bins = pack(pa.Table.from_batches(held))
+                    yield out
+                    held, rows, first = [], 0, first + bins
+                held.append(part)
+                rows += part.num_rows
+        if rows:
+            yield pack(pa.Table.from_batches(held))[0]
 
     return run
 
@@ -123,22 +120,28 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Reads columns doc_id and text."""
     work = work or Work(docs.sparkSession, "packing")
     pieces = work.save(docs.select("doc_id", "text").mapInArrow(lean(_pieces(tokenizer, length, end_id)), PIECE_SCHEMA), "pieces")
-    rounds = [work.save(pieces.mapInArrow(lean(_round(0, length, slack, False, task_bins)), ROUND_SCHEMA), "round0")]
+    placed = work.save(pieces.mapInArrow(lean(_round(0, length, task_bins)), PLACED_SCHEMA), "placed")
+    done, rounds = F.col("fill") >= length - slack, []
+    made = placed
     while True:
-        underfull = rounds[-1].filter("NOT done")
-        tasks, bins = underfull.agg(F.max("task") + 1, F.count_distinct("bin")).first()
-        if not bins:
+        underfull = made.filter("offset = 0").filter(~done)  # one row for each bin
+        tasks, bins = underfull.agg(F.max("task") + 1, F.count(F.lit(1))).first()
+        groups = max(-(-(tasks or 0) // fan_in), -(-bins // task_bins))
+        if not bins or rounds and groups >= tasks:
             break
-        groups = max(-(-tasks // fan_in), -(-bins // task_bins))
-        last = groups == 1 or groups >= tasks
-        if groups >= tasks > 1:
-            groups = tasks
-        number = len(rounds)
-        dealt = underfull.repartitionById(groups, (F.col("task") * groups / tasks).cast("int")).drop("done", "task")
-        rounds.append(work.save(dealt.mapInArrow(lean(_round(number, length, slack, last, task_bins)), ROUND_SCHEMA), f"round{number}"))
-        if last:
+        group = (F.col("task") * groups / tasks).cast("int")
+        items = underfull.select(F.col("bin").alias("item"), "fill", group.alias("group")).repartitionById(groups, F.col("group")).drop("group")
+        made = work.save(items.mapInArrow(lean(_round(len(rounds) + 1, length, task_bins)), ROUND_SCHEMA), f"round{len(rounds) + 1}")
+        rounds.append(made)
+        if groups == 1:
             break
-    out = rounds[0].filter("done")
-    for r in rounds[1:]:
-        out = out.unionByName(r.filter("done"))
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    if not rounds:
+        return placed.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    last = rounds[-1].select("item", F.col("bin").alias("sequence_id"), F.col("offset").alias("before"))
+    for k in range(len(rounds) - 2, -1, -1):
+        further = last.select(F.col("item").alias("bin"), "sequence_id", "before")
+        last = rounds[k].join(further, "bin", "left").select("item", F.coalesce("sequence_id", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("before", F.lit(0))).alias("before"))
+        last = work.save(last, f"resolved{k}")
+    ready = placed.filter(done).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    rest = placed.filter(~done).join(last.withColumnRenamed("item", "bin"), "bin")
+    return ready.unionByName(rest.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", (F.col("offset") + F.col("before")).alias("offset")))
