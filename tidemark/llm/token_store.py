@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .tokens import encoder
-from .work import Work, lean, shuffle_partitions
+from .work import HOT_KEYS, HOT_ROWS, Work, lean, shuffle_partitions
 
 END_ID = 2
 #: Ids under the rolling hash; least, mean and greatest length of a chunk in ids.
@@ -121,14 +121,13 @@ def _encode(path: str, end_id: int, owners: int, wide: bool):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each digest of a task's range once; recipes pass. Memory: 16 bytes of digest for each chunk of the task."""
-    seen: set[bytes] = set()
+    """Each digest once, from rows sorted by digest; recipes pass."""
+    last = None
     for b in batches:
         fresh = []
         for name in b.column("digest").to_pylist():
-            fresh.append(name not in seen)
-            if name is not None:
-                seen.add(name)
+            fresh.append(name is None or name != last)
+            last = name
         yield b.filter(pa.array(fresh, pa.bool_()))
 
 
@@ -218,15 +217,21 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class TokenStore:
     """The files of a store, and what is read from them."""
 
-    def __init__(self, chunks: DataFrame, recipes: DataFrame, manifest: DataFrame, wide: bool) -> None:
-        self.chunks, self.recipes, self.manifest, self.wide = chunks, recipes, manifest, wide
+    def __init__(self, chunks: DataFrame, recipes: DataFrame, manifest: DataFrame, wide: bool, work: Work) -> None:
+        self.chunks, self.recipes, self.manifest, self.wide, self.work = chunks, recipes, manifest, wide, work
+        self.reads = 0
 
     def documents(self) -> DataFrame:
         """From the files: doc_id, start, n_tokens, ids_crc32. Fails where a chunk or recipe isn't what its name says, or recipe files aren't those of the manifest."""
         spark = self.chunks.sparkSession
-        facts = self.chunks.mapInArrow(lean(_chunk_facts(self.wide)), "digest binary, stored long, crc long")
-        refs = self.recipes.mapInArrow(lean(_references), "digest binary, recipe long, length long, after long")
-        found = refs.join(facts, "digest").filter("stored = length").select("recipe", "length", "after", "crc")
+        self.reads += 1
+        facts = self.work.save(self.chunks.mapInArrow(lean(_chunk_facts(self.wide)), "digest binary, stored long, crc long"), f"facts{self.reads}")
+        refs = self.work.save(self.recipes.mapInArrow(lean(_references), "digest binary, recipe long, length long, after long"), f"refs{self.reads}")
+        # Chunks that very many documents have: at most HOT_KEYS of them, looked up in a broadcast table.
+        hot = refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(HOT_ROWS, refs.count() // HOT_KEYS)).select("digest")
+        hot_facts = F.broadcast(self.work.save(facts.join(F.broadcast(hot), "digest"), f"hot{self.reads}"))
+        both = refs.join(hot_facts, "digest").unionByName(refs.join(hot_facts, "digest", "left_anti").join(facts, "digest"))
+        found = both.filter("stored = length").select("recipe", "length", "after", "crc")
         crcs = found.mapInArrow(lean(_shifted), "recipe long, length long, crc long").groupBy("recipe").agg(F.bit_xor("crc").alias("crc"), F.sum("length").alias("found"))
         own = self.recipes.select("doc_id", "recipe", "n_tokens", F.shiftright("recipe", 33).alias("part"))
         now = self._roots()
@@ -277,10 +282,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = END_ID, work: Wor
     owners = shuffle_partitions(spark)
     wide = max(encoder(tokenizer).tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
     parts = docs.select("doc_id", "text").mapInArrow(lean(_encode(tokenizer, end_id, owners, wide)), PART_SCHEMA)
-    once = parts.repartitionById(owners, F.col("owner")).mapInArrow(lean(_once), PART_SCHEMA).drop("owner")
+    once = parts.repartitionById(owners, F.col("owner")).sortWithinPartitions("digest").mapInArrow(lean(_once), PART_SCHEMA).drop("owner")
     stored = work.save(once, "stored", compression="snappy")
     chunks = stored.filter("kind = 0").select("digest", "payload")
     ordered = stored.filter("kind = 1").select("doc_id", "tag", "n_tokens", "refs", "root").repartitionByRange(owners, "doc_id", "tag").sortWithinPartitions("doc_id", "tag")
     recipes = work.save(ordered.select("doc_id", F.monotonically_increasing_id().alias("recipe"), "n_tokens", "refs", "root"), "recipes")
     manifest = recipes.select("recipe", "n_tokens", "root").groupBy(F.shiftright("recipe", 33).alias("part")).applyInArrow(_manifest_group, "part long, documents long, n_tokens long, root binary")
-    return TokenStore(chunks, recipes, work.save(manifest, "manifest"), wide)
+    return TokenStore(chunks, recipes, work.save(manifest, "manifest"), wide, work)
