@@ -3,7 +3,7 @@
 Pass 1 hashes every window of every text. Map tasks work on blocks of some megabytes; within a block each distinct hash
 is sent once, and further places of it are noted as repeated there and then, so a passage that fills a third of the corpus
 costs one hash for each block. Hashes travel as binary rows, one for each block and hash range, with the gaps between
-their places. Owners of hash ranges count them and return to each block the places whose hash they met
+their places. A task owns some ranges, takes them one after another from rows sorted by range, counts their hashes, and returns to each block the places whose hash they met
 in other blocks or that the block had repeated. There, overlapping windows merge into maximal intervals of words, kept by
 document as (doc_id, hash of the text, intervals). Pass 2 joins these with the texts and removes the words.
 
@@ -94,25 +94,34 @@ def _hash_windows(size: int, ranges: int):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of the hashes of one range that stand more than once."""
-    blocks, bodies, gaps, known = [], [], [], []
+    """Places of the hashes that stand more than once, from rows sorted by range. Memory: the rows of one range."""
+    held: list[tuple] = []
+    at = None
     for b in batches:
         own = b.column("header").is_null()
         passing = b.filter(pc.invert(own))
         if passing.num_rows:
             yield pa.RecordBatch.from_arrays([passing.column("block"), passing.column("known"), passing.column("header")], schema=_PLACES)
         rest = b.filter(own)
-        for name, body, gap, k in zip(*(rest.column(c).to_pylist() for c in ("block", "body", "gaps", "known")), strict=True):
-            n = len(body) // SENT_BYTES
-            blocks.append(name)
-            whole = np.zeros((n, 8), np.uint8)
-            whole[:, :SENT_BYTES] = np.frombuffer(body, np.uint8).reshape(n, SENT_BYTES)
-            bodies.append(whole.view("<u8").ravel())
-            gaps.append(np.cumsum(np.frombuffer(gap, f"<u{len(gap) // n}").astype(np.int64)).astype("<i4"))
-            known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=n).astype(bool))
-    if not bodies:
+        for owner, *row in zip(*(rest.column(c).to_pylist() for c in ("owner", "block", "body", "gaps", "known")), strict=True):
+            if owner != at:
+                yield from _count_range(held)
+                at, held = owner, []
+            held.append(row)
+    yield from _count_range(held)
+
+
+def _count_range(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if not held:
         return
-    sizes = np.array([len(x) for x in bodies])
+    bodies, gaps, known = [], [], []
+    for _, body, gap, k in held:
+        n = len(body) // SENT_BYTES
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :SENT_BYTES] = np.frombuffer(body, np.uint8).reshape(n, SENT_BYTES)
+        bodies.append(whole.view("<u8").ravel())
+        gaps.append(np.cumsum(np.frombuffer(gap, f"<u{len(gap) // n}").astype(np.int64)).astype("<i4"))
+        known.append(np.unpackbits(np.frombuffer(k, np.uint8), count=n).astype(bool))
     hashes, multiple = np.concatenate(bodies), np.concatenate(known)
     bodies.clear()
     order = np.argsort(hashes, kind="stable")
@@ -121,10 +130,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     multiple[order[1:][same]] = True
     multiple[order[:-1][same]] = True
     at, rows = 0, []
-    for name, place, n in zip(blocks, gaps, sizes.tolist(), strict=True):
-        if (here := multiple[at : at + n]).any():
+    for (name, *_), place in zip(held, gaps, strict=True):
+        if (here := multiple[at : at + len(place)]).any():
             rows.append((name, place[here].tobytes(), None))
-        at += n
+        at += len(place)
     for i in range(0, len(rows), 500):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 500], strict=True), _PLACES, strict=True)], schema=_PLACES)
 
@@ -179,8 +188,10 @@ def repeated_runs(docs: DataFrame, size: int = SIZE, work: Work | None = None) -
     work = work or Work(spark, "substring")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 << max(0, max(-(-total // RANGE_BYTES), shuffle_partitions(spark)) - 1).bit_length()
-    sent = docs.select("doc_id", "text").mapInArrow(lean(_hash_windows(size, ranges)), SENT_SCHEMA).repartitionById(ranges, F.col("owner"))
-    places = sent.mapInArrow(lean(_count), PLACES_SCHEMA)
+    tasks = min(ranges, 2 * shuffle_partitions(spark))
+    sent = docs.select("doc_id", "text").mapInArrow(lean(_hash_windows(size, ranges)), SENT_SCHEMA)
+    dealt = sent.repartitionById(tasks, F.floor(F.col("owner") * tasks / ranges).cast("int")).sortWithinPartitions("owner")
+    places = dealt.mapInArrow(lean(_count), PLACES_SCHEMA)
     merged = places.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block").mapInArrow(lean(_merge(size)), "doc_id long, text_key long, runs binary")
     return work.save(merged.dropDuplicates(["doc_id", "text_key"]), "runs")
 
@@ -221,8 +232,8 @@ def _remove(with_text: bool):
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = True, work: Work | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (the words left, joined by one space)."""
-    runs = repeated_runs(docs, size, work).withColumnsRenamed({"doc_id": "__doc_id", "text_key": "__key"})
+    runs = repeated_runs(docs, size, work).withColumnsRenamed({"doc_id": "run_id", "text_key": "run_key"})
     keyed = docs.select("doc_id", "text").mapInArrow(lean(_keys), "doc_id long, packed binary, size long, text_key long")
     # A merge join at every size: the runs grow with the corpus.
-    joined = keyed.join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("text_key") == F.col("__key")), "left").select("doc_id", "packed", "size", "runs")
+    joined = keyed.join(runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("run_id")) & (F.col("text_key") == F.col("run_key")), "left").select("doc_id", "packed", "size", "runs")
     return joined.mapInArrow(lean(_remove(with_text)), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
