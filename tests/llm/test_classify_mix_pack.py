@@ -23,6 +23,16 @@ def test_cached_ids_are_the_tokenizers(spark):
     assert own.ids([None]) == [b""]
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_cached_ids_dont_depend_on_what_came_before(order):
+    own = tokens.Encoder(PATH)
+    rng = np.random.default_rng(6)
+    alphabet = ["a", "b", "Bar", "y", " ", " ", "\n", "\n", ".", ",", "é", "1", "\t", "'s", "ß", "\r\n", "-", "ſ"]
+    made = ["".join(rng.choice(alphabet, int(rng.integers(1, 9)))) for _ in range(20_000)]
+    for text in ["One x.\nBar y", "One x \nBar y"][::order] + made + made[:3000]:
+        assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def plain_ids(rows):
     own = tokens.Encoder(PATH).tokenizer
     return [np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t in rows]
@@ -47,16 +57,16 @@ def test_store_round_trip(frame):
 
 def test_changed_chunks_are_found(frame):
     store = token_store.write_store(frame([(1, "a b c")], DOC), PATH)
-    broken = token_store.TokenStore(store.chunks.withColumn("payload", F.lit(b"xx")), store.recipes, store.manifest, store.wide)
+    broken = token_store.TokenStore(store.chunks.withColumn("payload", F.lit(b"xx")), store.recipes, store.manifest, store.wide, store.work)
     with pytest.raises(Exception, match="digest"):
         broken.documents().collect()
-    assert not token_store.TokenStore(store.chunks, store.recipes.withColumn("n_tokens", F.lit(9).cast("long")), store.manifest, store.wide).verify()
+    assert not token_store.TokenStore(store.chunks, store.recipes.withColumn("n_tokens", F.lit(9).cast("long")), store.manifest, store.wide, store.work).verify()
 
 
 def test_missing_recipes_are_an_error(frame):
     store = token_store.write_store(frame([(k, f"text {k}") for k in range(40)], DOC), PATH)
-    short = token_store.TokenStore(store.chunks, store.recipes.filter("doc_id <> 7"), store.manifest, store.wide)
-    gone = token_store.TokenStore(store.chunks, store.recipes.filter(F.shiftright("recipe", 33) > 0), store.manifest, store.wide)
+    short = token_store.TokenStore(store.chunks, store.recipes.filter("doc_id <> 7"), store.manifest, store.wide, store.work)
+    gone = token_store.TokenStore(store.chunks, store.recipes.filter(F.shiftright("recipe", 33) > 0), store.manifest, store.wide, store.work)
     for lost in (short, gone):
         with pytest.raises(ValueError, match="manifest"):
             lost.documents().collect()
@@ -97,6 +107,30 @@ def test_packing_is_whole_and_gapless(frame, task_bins):
         assert out.sequence_id.nunique() <= -(-sum(map(len, ids)) // 1024) + 2
 
 
+def test_bins_are_packed_as_in_one_task(frame):
+    """Sequences by brute force: best fit, the longest first, over all pieces at once; the rounds need few more."""
+    sizes = np.random.default_rng(4).integers(1, 700, 400)
+    out = packing.pack_documents(frame([(i, "w " * int(n)) for i, n in enumerate(sizes)], DOC).repartition(40), PATH, fan_in=3)
+    lengths = np.array([r.length for r in out.collect()])
+    assert out.select("sequence_id").distinct().count() <= 1.03 * len(packing.best_fit(lengths, 1024)[2])
+
+
+def test_a_common_chunk_is_looked_up_by_broadcast(frame):
+    rows = [(i, "same text") for i in range(600)] + [(1000, "other")]
+    out = token_store.write_store(frame(rows, DOC), PATH).documents().collect()
+    ids = plain_ids(rows)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == Counter((i, len(x), zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, ids, strict=True))
+
+
+def test_a_replaced_recipe_is_an_error(frame):
+    store = token_store.write_store(frame([(1, "a b c"), (2, "d e f g")], DOC), PATH)
+    one, two = store.recipes.filter("doc_id = 1"), store.recipes.filter("doc_id = 2").first()
+    swapped = one.select("doc_id", "recipe", F.lit(two.n_tokens).alias("n_tokens"), F.lit(bytes(two.refs)).alias("refs"), F.lit(bytes(two.root)).alias("root"))
+    broken = token_store.TokenStore(store.chunks, swapped.unionByName(store.recipes.filter("doc_id = 2")), store.manifest, store.wide, store.work)
+    with pytest.raises(ValueError, match="manifest"):
+        broken.documents().collect()
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit(np.array([6, 4, 5, 5, 3]), 10)
     assert fills.tolist() == [10, 10, 3] and bins.tolist() == [0, 0, 1, 1, 2] and offsets.tolist() == [0, 6, 0, 5, 0]
