@@ -305,7 +305,9 @@ def similar_documents(docs: DataFrame, size: int = SIZE, threshold: float = THRE
     dealt = placed.join(nodes.select("node", "weight"), "node").select("node", "weight", F.col("label").alias("comp"), F.ceil(F.col("m") / block).cast("int").alias("blocks"))
     mine = sets.join(dealt, "node").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = mine.select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "weight", "grams")
-    sorted_units = units.repartition(shuffle_partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+    # Units of one component are dealt out one by one, so that no task gets several of a large one before each has one.
+    tasks, number = shuffle_partitions(spark), F.expr("j * (j + 1L) div 2 + i")
+    sorted_units = units.repartitionById(tasks, F.pmod(F.xxhash64("comp") + number, F.lit(tasks)).cast("int")).sortWithinPartitions("comp", "i", "j")
     found = work.save(sorted_units.mapInArrow(lean(_verify(threshold)), "node long, root long, links long"), "found")
 
     classes = star_components(found.select("node", "root"), work, "classes")
