@@ -297,6 +297,31 @@ def test_html_shows_what_a_browser_shows(source, text):
     assert html_text.html_to_text(source) == text
 
 
+def test_html_rows_spanned_from_above():
+    assert html_text.html_to_text("<table><tr><td rowspan=2>A<td>b<tr><td>c<td>d<tr><td>e<td>f</table>") == "A  b\n   c  d\ne  f"
+    assert html_text.html_to_text("<table><tr><td>a<td rowspan=3 colspan=2>w<td>b<tr><td>c<td>d</table>") == "a  w   b\nc      d"
+
+
+LONG = {
+    "tags that never end": "<a " * 300_000, "names": "<" + "a" * 1_000_000, "open elements": "<i>" * 150_000 + "</p>" * 150_000, "ends in a cell": "<b><table><td>" + "<i>" * 100_000 + "</b>x" * 100_000,
+    "quotes": "<a '\">\"'" * 100_000, "last quote": "<a ='>x" * 100_001, "lists": "<ul><li>x" * 50_000, "tables": "<table><td>x" * 50_000, "less": "< " * 300_000 + ">", "comments": "<!-" * 300_000, "quoted blocks": "<blockquote>y" * 50_000,
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_html_takes_linear_time(kind):
+    import time
+
+    source = LONG[kind]
+    began = time.process_time()
+    text = html_text.html_to_text(source)
+    assert time.process_time() - began < 20 and len(text) < 30 * len(source)
+
+
+def test_html_after_a_quote_that_never_ends():
+    assert html_text.html_to_text("<p>a<a href='x>b</a><p>c <b>d</b>") == "ab\n\nc d"
+
+
 def test_html_table(frame):
     rows = [(1, "<p>a", "u"), (1, "<p>a", "u"), (2, None, None), (None, "b", "u")]
     out = html_text.extract_text(frame(rows, "page_id long, html string, text string")).collect()

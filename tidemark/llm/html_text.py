@@ -28,6 +28,8 @@ from .styles import Sheet
 from .work import lean, slices
 
 WIDEST = 60
+#: Items, quotes and cells within so many others are laid out as plain blocks, so that a page's text is never much longer than the page.
+DEEPEST = 40
 
 #: Fixed values of HTML: elements without content, with raw text, and with rules of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,10 +50,17 @@ ENDED_BY = {
     "tr": frozenset("tr thead tbody tfoot".split()), "thead": frozenset(["tbody", "tfoot", "thead"]), "tbody": frozenset(["tbody", "tfoot", "thead"]), "tfoot": frozenset(["tbody", "tfoot", "thead"]),
     "caption": frozenset("td th tr thead tbody tfoot".split()), "option": frozenset(["option", "optgroup"]), "optgroup": frozenset(["optgroup"]), "head": frozenset(["body"]),
 }
+#: The same the other way round: what the start of each element ends.
+ENDS = {tag: tuple(k for k, by in ENDED_BY.items() if tag in by) for by in ENDED_BY.values() for tag in by}
+IN_TABLES = frozenset("table tr td th thead tbody tfoot".split())
 SCOPE = frozenset("table ul ol dl td th caption select button object template html body".split())
 
-_TOKEN = re.compile(r"<!--(.*?)(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|([^<]+|<)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_OTHER = r"</([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?/][^>]*+>|([^<]++|<)"
+_COMMENT = r"<!--(.*?)(?:--!?>|\Z)|<([a-zA-Z][^\s/>]*+)"
+#: Nothing here goes back over what it has read. The second one is for what follows a tag that never ends because of a quote: there, quotes are like other marks.
+_TOKEN = re.compile(_COMMENT + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|" + _OTHER, re.DOTALL)
+_PLAIN = re.compile(_COMMENT + r"([^>]*+)>|" + _OTHER, re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -68,42 +77,90 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(source)))}
 
 
+class _Open:
+    """Open elements from the outermost on, and where those of each name and those that bound a scope stand."""
+
+    __slots__ = ("nodes", "places", "scopes")
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.places, self.scopes = [], {}, []
+        self.push(root)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """End the elements from this place on."""
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in SCOPE:
+                self.scopes.pop()
+
+    def last(self, tags) -> int:
+        """Place of the innermost element with one of these names; 0 for none, or for the root."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def start(self, tag: str, attributes: dict[str, str]) -> Node:
+        outer = self.nodes[-1]
+        node = Node(tag, attributes, tag in ("svg", "math") or outer.foreign and outer.tag not in HOSTS)
+        outer.children.append(node)
+        self.push(node)
+        return node
+
+    def pop(self) -> None:
+        self.cut(len(self.nodes) - 1)
+
+    @property
+    def inner(self) -> str:
+        return self.nodes[-1].tag
+
+
 def parse(source: str) -> Node:
     """The tree of a page; children are nodes and strings."""
     root = Node("html", {})
-    open_: list[Node] = [root]
-    at, size = 0, len(source)
+    open_ = _Open(root)
+    at, size, token = 0, len(source), _TOKEN
     while at < size:
-        m = _TOKEN.match(source, at)
-        if m is None:  # a tag that never ends
-            break
-        at = m.end()
+        m = token.match(source, at)
         if (text := m[5]) is not None:
-            if open_[-1].tag in ("html", "head") and not text.isspace():
+            if text == "<" and source[at + 1 : at + 2].isalpha() and source[at + 1].isascii() or text == "<" and source[at + 1 : at + 2] in ("!", "?", "/"):
+                if source.find(">", at) < 0:  # no further tag ends
+                    text, m = source[at:], None
+                elif token is _TOKEN:
+                    token = _PLAIN
+                    continue
+            at = m.end() if m else size
+            if open_.inner in ("html", "head") and not text.isspace():
                 _body(open_, root)
-            if open_[-1].tag not in ("html", "head"):
-                open_[-1].children.append(unescape(text) if "&" in text else text)
-        elif (tag := m[2]) is not None:
+            if open_.inner not in ("html", "head"):
+                open_.nodes[-1].children.append(unescape(text) if "&" in text else text)
+            continue
+        at = m.end()
+        if (tag := m[2]) is not None:
             tag = tag.lower()
             attributes = _attributes(m[3])
             if tag in ("html", "body"):
-                if tag == "body" and not any(n.tag == "body" for n in open_):
+                if tag == "body" and not open_.places.get("body"):
                     _body(open_, root)
-                    open_[-1].attributes.update(attributes)
+                    open_.nodes[-1].attributes.update(attributes)
                 continue
             if tag == "head":
-                if len(open_) == 1:
-                    _start(open_, tag, attributes)
+                if len(open_.nodes) == 1:
+                    open_.start(tag, attributes)
                 continue
-            if open_[-1].tag == "html" and tag not in HEAD or open_[-1].tag == "head" and tag not in HEAD:
+            if open_.inner in ("html", "head") and tag not in HEAD:
                 _body(open_, root)
-            elif open_[-1].tag == "html" and not any(n.tag == "body" for n in root.children if isinstance(n, Node)):
-                _start(open_, "head", {})
+            elif open_.inner == "html" and not any(n.tag == "body" for n in root.children if isinstance(n, Node)):
+                open_.start("head", {})
             if tag in LEAVES:
-                while open_[-1].foreign and open_[-1].tag not in HOSTS:
+                while open_.nodes[-1].foreign and open_.inner not in HOSTS:
                     open_.pop()
             _imply(open_, tag)
-            node = _start(open_, tag, attributes)
+            node = open_.start(tag, attributes)
             if tag in VOID or node.foreign and m[3].rstrip().endswith("/"):
                 open_.pop()
             elif tag in RAW:
@@ -113,58 +170,42 @@ def parse(source: str) -> Node:
                 at = end.end() if end else size
                 open_.pop()
         elif (tag := m[4]) is not None:
-            tag = tag.lower()
-            if tag == "br":
-                open_[-1].children.append(Node("br", {}))
-            elif tag in ("html", "body"):
-                continue
-            elif tag == "p" and not any(n.tag == "p" for n in open_):
-                _start(open_, "p", {})
-                open_.pop()
-            else:
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].tag == tag:
-                        del open_[i:]
-                        break
-                    if open_[i].tag in ("table", "td", "th", "body") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot"):
-                        break  # an inline end tag doesn't close a cell or a table
+            _end(open_, tag.lower())
     return root
 
 
-def _start(open_: list[Node], tag: str, attributes: dict[str, str]) -> Node:
-    outer = open_[-1]
-    node = Node(tag, attributes, tag in ("svg", "math") or outer.foreign and outer.tag not in HOSTS)
-    outer.children.append(node)
-    open_.append(node)
-    return node
+def _end(open_: _Open, tag: str) -> None:
+    if tag == "br":
+        open_.nodes[-1].children.append(Node("br", {}))
+    elif tag == "p" and not open_.places.get("p"):
+        open_.start("p", {})
+        open_.pop()
+    elif tag not in ("html", "body") and (at := open_.last((tag,))):
+        # An inline end tag doesn't close a cell or a table.
+        if tag in IN_TABLES or at >= open_.last(("table", "td", "th", "body")):
+            open_.cut(at)
 
 
-def _body(open_: list[Node], root: Node) -> None:
-    del open_[1:]
+def _body(open_: _Open, root: Node) -> None:
+    open_.cut(1)
     for n in root.children:
         if isinstance(n, Node) and n.tag == "body":
-            open_.append(n)
+            open_.push(n)
             return
-    _start(open_, "body", {})
+    open_.start("body", {})
 
 
-def _imply(open_: list[Node], tag: str) -> None:
+def _imply(open_: _Open, tag: str) -> None:
     """End what the start of ``tag`` ends, and open what it needs."""
-    while True:
-        for i in range(len(open_) - 1, 0, -1):
-            own = open_[i].tag
-            if tag in ENDED_BY.get(own, ()):
-                del open_[i:]
-                break
-            if own in SCOPE:
-                return _within_table(open_, tag)
-        else:
-            return _within_table(open_, tag)
+    if ends := ENDS.get(tag):
+        while (at := open_.last(ends)) and at >= open_.scopes[-1]:
+            open_.cut(at)
+    _within_table(open_, tag)
 
 
-def _within_table(open_: list[Node], tag: str) -> None:
-    if tag in ("td", "th") and open_[-1].tag in ("table", "thead", "tbody", "tfoot"):
-        _start(open_, "tr", {})
+def _within_table(open_: _Open, tag: str) -> None:
+    if tag in ("td", "th") and open_.inner in ("table", "thead", "tbody", "tfoot"):
+        open_.start("tr", {})
 
 
 def _hidden(node: Node, style: dict[str, str]) -> bool:
@@ -212,24 +253,34 @@ class _Flow:
         self.gap = True
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+def _table(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table from its cells: their lines, and how many columns and rows they span."""
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
+    taken: dict[int, int] = {}  # the row below the last one that a cell from above takes of a column
+    placed = []
+    for number, row in enumerate(rows):
+        at, own = 0, []
+        for lines, span, down in row:
+            while taken.get(at, 0) > number:
+                at += 1
             if span == 1:
                 widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, lines), default=0)))
+            if down > 1:
+                taken.update(dict.fromkeys(range(at, at + span), number + down))
+            own.append((lines, at, span))
             at += span
+        placed.append(own)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
+    for row in placed:
+        for k in range(max((len(lines) for lines, _, _ in row), default=0)):
             at, line, pad = 0, [], 0
-            for lines, span in row:
+            for lines, start, span in row:
+                pad += sum(widths.get(c, 0) + 2 for c in range(at, start))
                 own = lines[k] if k < len(lines) else ""
                 line.append(" " * pad + own)
-                width = sum(widths.get(c, 0) for c in range(at, at + min(span, 1000))) + 2 * (span - 1)
+                width = sum(widths.get(c, 0) for c in range(start, start + span)) + 2 * (span - 1)
                 pad = max(0, width - len(own)) + 2
-                at += span
+                at = start + span
             out.append("".join(line).rstrip())
     return out
 
@@ -299,13 +350,15 @@ def render(root: Node) -> str:
                 pre += 1
             elif tag in ("ul", "ol", "menu", "dir"):
                 lists.append([tag == "ol", _number(item.attributes.get("start"), 1, 10**9)])
-            elif tag == "table":
+            elif tag == "table" and len(flows) < DEEPEST:
                 tables.append((item, []))
                 flows.append(_Flow(item))
             elif tag == "tr" and tables:
                 tables[-1][1].append([])
-            if tag in ("li", "blockquote", "dd") or tag in ("td", "th") and tables and tables[-1][1]:
+            if (tag in ("li", "blockquote", "dd") or tag in ("td", "th") and tables and tables[-1][1]) and len(flows) < DEEPEST + 1:
                 flows.append(_Flow(item))
+            elif tag in ("td", "th"):
+                flow.end_line()
             stack.append((item, True))
             visible.append(seen)
             drawn.append({"svg": "svg", "text": "text", "foreignobject": ""}.get(tag, drawn[-1]) if item.foreign else "")
@@ -337,7 +390,7 @@ def render(root: Node) -> str:
             flows.pop()
             lines, outer = flow.lines, flows[-1]
             if tag in ("td", "th"):
-                tables[-1][1][-1].append((lines, max(1, _number(item.attributes.get("colspan"), 1))))
+                tables[-1][1][-1].append((lines, max(1, _number(item.attributes.get("colspan"), 1)), max(1, _number(item.attributes.get("rowspan"), 1, 65_534))))
             elif tag == "table":
                 _, rows = tables.pop()
                 outer.end_line()
