@@ -53,6 +53,29 @@ def test_slots_close_behind_the_watermark(spark, tmp_path):
     assert sorted((r.name, r.val, r.ts) for r in out.collect())[:2] == [("all", 3.0, 60), ("all", 5.0, 120)]
 
 
+def test_latency_slots_in_a_stream_match_the_batch(spark, tmp_path):
+    rows = [("ramp.x", float(k), 600 + 7 * k, 600 + 7 * k + k * k % 9) for k in range(30)] + [("ramp.y", 1.0, 100_000, 100_000)]
+    schema = "name string, val double, ts long, arrival long"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    own = rules.parse_rules("slow (60) c = latency ramp.x\nlevel.max (60) = custom1 ramp.x")
+    out = run(ingest.slots(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), own), "latency", tmp_path)
+    batch = rules.aggregate(spark.createDataFrame(rows, schema), rules.match_rules(spark.createDataFrame([("ramp.x",)], "name string"), own))
+    key = lambda df: sorted((r.name, r.ts, round(r.val, 9)) for r in df.collect())
+    assert key(out) == key(batch) and {r.name for r in out.collect()} == {"slow.min", "slow.max", "slow.mean", "slow.count", "level.max"}
+
+
+def test_live_path_drops_repeats_and_ruled_out_points(spark, tmp_path):
+    archive, held = ArchiveTable(spark, str(tmp_path / "archive"), Policy.parse("60s:24h")), [[]]
+    each = ingest.store_and_relay(archive, lambda: NOW, aggregation=lambda: held[0], precision=60)
+    t = NOW - NOW % 60
+    batch = spark.createDataFrame([("a.x", 1.0, t, 1, t + 5), ("a.x", 2.0, t + 1, 2, t + 5), ("b.x", 3.0, t, 3, t + 5), ("b.y", 4.0, t - 600, 4, t + 5)], "name string, val double, ts long, seq long, arrival long")
+    each(batch, 0)
+    assert sorted((r.name, r.val) for r in archive.read().collect()) == [("a.x", 1.0), ("b.x", 3.0), ("b.y", 4.0)]
+    held[0] = rules.parse_rules("all (60) drop = sum b.*")  # the rules are read again with every batch
+    each(batch.withColumn("val", F.col("val") * 10), 1)
+    assert sorted((r.name, r.val) for r in archive.read().collect()) == [("a.x", 10.0), ("b.x", 3.0), ("b.y", 40.0)]
+
+
 def test_gaps(spark, tmp_path):
     table = recovery.GapTable(str(tmp_path / "gaps.json"))
     check = recovery.Checkpoint(str(tmp_path / "checkpoint"))

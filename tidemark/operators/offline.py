@@ -90,9 +90,16 @@ def parse_requests(lines: DataFrame, shape: str = "jetty") -> DataFrame:
 
 def nth_percentile(value: Column, percents: Sequence[int], rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """For each key the elements number int(n * p / 100), from 0, of its sorted values."""
-    ordered = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.withColumn("__i", F.row_number().over(ordered) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("__i") == F.floor(F.col("__n") * p / 100), value)).alias(f"p{p}") for p in percents])
+    counts = rows.groupBy(*keys, value.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    # Different values in ranges, so that no key comes together in one task: sums of ranges first, then within the range.
+    ranged = counts.withColumn("__r", F.floor(F.log2(F.abs(F.col("__v").cast("double")) + 1) * F.when(F.col("__v") < 0, -64).otherwise(64)).cast("long"))
+    ranges = ranged.groupBy(*keys, "__r").agg(F.sum("__c").alias("__rc"))
+    by_range = Window.partitionBy(*keys).orderBy("__r")
+    ranges = ranges.withColumn("__before", F.sum("__rc").over(by_range) - F.col("__rc")).withColumn("__n", F.sum("__rc").over(Window.partitionBy(*keys))).drop("__rc")
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*keys, "__r").orderBy("__v"))
+    placed = ranged.join(ranges, [*keys, "__r"]).withColumn("__upto", upto)
+    at = lambda p: F.floor(F.col("__n") * p / 100)
+    return placed.groupBy(*keys).agg(*[F.max(F.when((at(p) < F.col("__upto")) & (at(p) >= F.col("__upto") - F.col("__c")), F.col("__v"))).alias(f"p{p}") for p in percents])
 
 
 def request_stats(requests: DataFrame, keys: Sequence[str] = ("status",)) -> DataFrame:
@@ -142,9 +149,13 @@ def bulk_place(points: DataFrame, now: int, policies: Sequence[Policy] | None =
     return placed.groupBy("db", "name", (F.col("ts") - F.pmod("ts", "__p")).alias("ts")).agg(F.max_by("val", "seq").alias("val"))
 
 
-def ingest_latency(points: DataFrame, percents: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """namespace, points, max_lag and percentiles of arrival - ts."""
+def ingest_latency(points: DataFrame, percents: Sequence[float] = (0.5, 0.95, 0.99), exact: bool = False) -> DataFrame:
+    """namespace, points, max_lag and percentiles of arrival - ts: approximate ones, or exact elements of the sorted lags."""
     lag = F.col("arrival") - F.col("ts")
+    if exact:
+        lags = points.select(names.namespace(F.col("name")).alias("namespace"), lag.alias("lag"))
+        sums = lags.groupBy("namespace").agg(F.count(F.lit(1)).alias("points"), F.max("lag").alias("max_lag"))
+        return sums.join(nth_percentile(F.col("lag"), [round(100 * p) for p in percents], lags, ["namespace"]), "namespace")
     rows = [F.percentile_approx(lag, p, 10_000).alias(f"p{round(100 * p)}") for p in percents]
     return points.groupBy(names.namespace(F.col("name")).alias("namespace")).agg(F.count(F.lit(1)).alias("points"), F.max(lag).alias("max_lag"), *rows)
 

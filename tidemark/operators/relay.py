@@ -50,9 +50,16 @@ def route(points: DataFrame, routes: Sequence[Route]) -> DataFrame:
     return routed.withColumn("destination", F.explode(choice))
 
 
-def round_robin(points: DataFrame, n: int) -> DataFrame:
-    """Adds ``turn``: the place of each point, in order of arrival, modulo n. Meant for one destination's batch."""
-    return points.withColumn("turn", F.pmod(F.row_number().over(Window.orderBy("seq")) - 1, F.lit(n)).cast("int"))
+def round_robin(points: DataFrame, n: int, block: int = 1 << 16) -> DataFrame:
+    """Adds ``turn``: the place of each point, in order of arrival (``seq``, unique), modulo n. Meant for one destination's batch.
+
+    Points are numbered within blocks of ``seq``; only the blocks' sizes are summed in order.
+    """
+    own = points.withColumn("__block", F.floor(F.col("seq") / block))
+    sizes = own.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__block").orderBy("seq")) - 1
+    return own.withColumn("__place", place).join(sizes, "__block").withColumn("turn", F.pmod(F.col("__before") + F.col("__place"), F.lit(n)).cast("int")).drop("__block", "__place", "__before")
 
 
 def point_lines(points: DataFrame, compat: bool = False) -> DataFrame:

@@ -120,16 +120,27 @@ def aggregate(points: DataFrame, results: DataFrame) -> DataFrame:
 
     ``results`` is what ``match_rules`` gives for the points' names. One shuffle; sums are combined before it.
     """
-    arrival = F.col("arrival") if "arrival" in points.columns else F.lit(None).cast("long")
-    rows = points.withColumn("__lag", (arrival - F.col("ts")).cast("long")).join(F.broadcast(results) if _small(results) else results, "name")
-    slots = rows.groupBy("agg", "method", interval(F.col("ts"), SLOT).alias("ts")).agg(
-        F.sum("val").alias("sum"), F.count("val").alias("count"), F.min("__lag").alias("min"), F.max("__lag").alias("max"), F.avg("__lag").alias("mean"))
+    rows = points.select("name", "val", "ts", lag_of(points).alias("lag")).join(F.broadcast(results) if _small(results) else results, "name")
+    return slot_values(rows.groupBy("agg", "method", interval(F.col("ts"), SLOT).alias("ts")).agg(*slot_sums()))
+
+
+def lag_of(points: DataFrame) -> Column:
+    """Seconds from a point's time to its arrival; null where ``points`` has no arrival."""
+    return (F.col("arrival") - F.col("ts")).cast("long") if "arrival" in points.columns else F.lit(None).cast("long")
+
+
+def slot_sums() -> list[Column]:
+    """What a slot keeps of its points' val and lag."""
+    return [F.sum("val").alias("sum"), F.count("val").alias("count"), F.min("lag").alias("min"), F.max("lag").alias("max"), F.avg("lag").alias("mean")]
+
+
+def slot_values(slots: DataFrame) -> DataFrame:
+    """name, val, ts from agg, method, ts and ``slot_sums``: a latency gives four series, every other method one."""
     mean = F.when(F.col("count") > 0, F.col("sum") / F.col("count")).otherwise(0.0)
     value = F.when(F.col("method") == "sum", F.col("sum")).when(F.col("method") == "avg", mean).otherwise(F.when(is_average(F.col("agg")), mean).otherwise(F.col("sum")))
-    plain = slots.filter("method <> 'latency'").select(F.col("agg").alias("name"), value.alias("val"), "ts")
-    four = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("v")) for k in ("min", "max", "mean", "count")])).alias("s")
-    lags = slots.filter("method = 'latency'").select("agg", "ts", four).select(F.concat_ws(".", "agg", "s.k").alias("name"), F.col("s.v").alias("val"), "ts")
-    return plain.unionByName(lags)
+    four = F.array(*[F.struct(F.concat_ws(".", "agg", F.lit(k)).alias("name"), F.col(k).cast("double").alias("val")) for k in ("min", "max", "mean", "count")])
+    one = F.array(F.struct(F.col("agg").alias("name"), value.cast("double").alias("val")))
+    return slots.select(F.explode(F.when(F.col("method") == "latency", four).otherwise(one)).alias("s"), "ts").select("s.name", "s.val", "ts")
 
 
 #: Rows up to which rule results are broadcast.

@@ -1,6 +1,6 @@
 """Archives: upserts where the last write wins, scans, expiry, imports and deletes.
 
-An archive is a Parquet folder ``db=<archive>/day=<day>`` of (name, ts, val, seq), ts at interval starts.
+An archive is a Parquet folder ``db=<archive>/day=<day>`` of (name, ts, val, seq, batch), ts at interval starts; ``batch`` numbers writes.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ class ArchiveTable:
 
     def __init__(self, spark: SparkSession, path: str, policy: Policy) -> None:
         self.spark, self.path, self.policy = spark, f"{path.rstrip('/')}/db={policy.db}", policy
-        self.schema = "name string, ts long, val double, seq long, day long"
+        self.schema = "name string, ts long, val double, seq long, batch long, day long"
 
     def read(self) -> DataFrame | None:
         try:
@@ -49,16 +49,21 @@ class ArchiveTable:
                 return None
             raise
 
-    def write(self, points: DataFrame, now: int, version: int | None = None) -> None:
-        """Upsert. With ``version`` (the number of a micro-batch) the batch's own seq orders points within it, the version batches."""
+    def write(self, points: DataFrame, now: int) -> None:
+        """Upsert. A later write wins over all earlier ones, whatever their seq; within a write seq decides.
+
+        Each write gets the number after the highest in the days that it touches, so it doesn't matter who writes, a stream or a bulk load.
+        """
         day = F.floor(F.col("ts") / 86400).cast("long")
-        new = upsert(None, points, self.policy, now).withColumn("day", day)
-        if version is not None:
-            new = new.withColumn("seq", F.lit(version).cast("long"))
+        new = upsert(None, points, self.policy, now).withColumn("batch", F.lit(0).cast("long")).withColumn("day", day)
         held = self.read()
         if held is not None:
             days = [r.day for r in new.select("day").distinct().collect()]  # as many as days in the batch
-            new = last_writes(held.filter(F.col("day").isin(days)).drop("day").unionByName(new.drop("day")), self.policy.precision).withColumn("day", day)
+            held = held.filter(F.col("day").isin(days))
+            number = held.agg(F.max("batch")).first()[0]
+            both = held.unionByName(new.withColumn("batch", F.lit(-1 if number is None else number).cast("long") + 1))
+            last = F.max_by(F.struct("val", "seq", "batch"), F.struct("batch", "seq")).alias("last")
+            new = both.groupBy("name", "ts", "day").agg(last).select("name", "ts", "last.val", "last.seq", "last.batch", "day")
         staged = f"{self.path}.staged"
         ordered = new.repartition("day", F.pmod(F.xxhash64("name"), F.lit(16))).sortWithinPartitions("day", "name", "ts")
         ordered.write.mode("overwrite").partitionBy("day").parquet(staged)  # what is read below isn't what is being replaced

@@ -21,20 +21,21 @@ POINTS = "p AS (SELECT 'app.' || event_type || '.u' || user_id AS name, value AS
 
 
 def deep_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of seven segments that the aggregation rule matches, with a time of arrival."""
+    """Names of six segments that the aggregation rule matches, with a time of arrival."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     u = F.col("user_id")
-    name = F.concat(F.lit("pod"), (u % 5).cast("string"), F.lit(".ecom.r"), (u % 7).cast("string"), F.lit(".t"), (u % 3).cast("string"), F.lit(".blade"), (u % 11).cast("string"), F.lit(".x."), "event_type", F.lit(".count"))
+    kind = F.when(u % 2 == 0, ".total").otherwise(".mean")
+    name = F.concat(F.lit("plant"), (u % 5).cast("string"), F.lit(".line"), (u % 7).cast("string"), F.lit(".cell"), (u % 3).cast("string"), F.lit(".unit"), (u % 11).cast("string"), F.lit("."), "event_type", kind)
     ts = F.unix_seconds(F.col("ts").cast("timestamp"))
     return e.select(name.alias("name"), F.col("value").alias("val"), ts.alias("ts"), F.col("event_id").alias("seq"), (ts + (F.col("event_id") * 7919) % 300).alias("arrival"))
 
 
-DEEP = """d AS (SELECT 'pod' || (user_id % 5) || '.ecom.r' || (user_id % 7) || '.t' || (user_id % 3) || '.blade' || (user_id % 11) || '.x.' || event_type || '.count' AS name,
+DEEP = """d AS (SELECT 'plant' || (user_id % 5) || '.line' || (user_id % 7) || '.cell' || (user_id % 3) || '.unit' || (user_id % 11) || '.' || event_type || CASE WHEN user_id % 2 = 0 THEN '.total' ELSE '.mean' END AS name,
     value AS val, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) + (event_id * 7919) % 300 AS arrival FROM events)"""
 
-RULE = "<pod>.ecom_ag.<realm>.<tenant>.<metric> (60) = {method} <pod>.ecom.<realm>.<tenant>.*.*.<<metric>>"
-RULE_SQL = r"'^([^.]+)\.ecom\.([^.]+)\.([^.]+)\.[^.]+\.[^.]+\.(.+)$'"
-AGG_SQL = rf"regexp_replace(name, {RULE_SQL}, '\1.ecom_ag.\2.\3.\4')"
+RULE = "by_line.<line>.<plant>.<what> (60) = {method} <plant>.<line>.cell*.*.<<what>>"
+RULE_SQL = r"'^([^.]+)\.([^.]+)\.cell[^.]*\.[^.]+\.(.+)$'"
+AGG_SQL = rf"regexp_replace(name, {RULE_SQL}, 'by_line.\2.\1.\3')"
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

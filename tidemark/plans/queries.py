@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import names
-from ..functions.policies import Policy, choose, includes, interval, parse_policies
+from ..functions.policies import Policy, choose, interval, parse_policies
 from ..operators import admin, filters, index, offline, relay, render, rollup, rules, store
 from ..sources import dumps, lines
 from .base import AGG_SQL, DEEP, NODES, NOW, POINTS, RULE, RULE_SQL, deep_points, fixed, fixed_sql, nodes, points
@@ -57,15 +57,13 @@ def name_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd.withColumn("valid", names.is_valid(F.col("name")))
 
 
-_REASON = f"CASE WHEN NOT (regexp_full_match(name, '[A-Za-z0-9_:=%-]+(\\.[A-Za-z0-9_:=%-]+)*') AND NOT starts_with(name, 'root.')) OR ts <= 0 THEN 'invalid' WHEN length(name) > 18 THEN 'length' WHEN ts + 1296000 < {NOW} THEN 'age' WHEN ts > {NOW} - 86400 * 3 THEN 'future' END"
+_REASON = f"CASE WHEN NOT (regexp_full_match(name, '[A-Za-z0-9_:=%-]+(\\.[A-Za-z0-9_:=%-]+)*') AND NOT starts_with(name, 'root.')) OR ts <= 0 THEN 'invalid' WHEN length(name) > 18 THEN 'length' WHEN ts + 864000 < {NOW} - 432000 THEN 'age' WHEN ts > {NOW} - 86400 * 3 THEN 'future' END"
 
 
 @query(f"WITH {POINTS}, o AS (SELECT seq, {_ODD} AS name, ts FROM p) SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS points, CAST(sum(ts) AS BIGINT) AS ts_sum FROM o GROUP BY 1")
 def point_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = points(spark, sf_dir).withColumn("name", _odd_name())
-    why = filters.reason(max_length=18, max_age=1296000, max_future_age=-86400 * 3, now=NOW)
-    # A negative limit is off, so the bound on future times is given by a time to count from that lies in the past.
-    why = F.coalesce(why, F.when(F.col("ts") > NOW - 86400 * 3, "future"))
+    why = filters.reason(max_length=18, max_age=864000, max_future_age=86400 * 2, now=NOW - 86400 * 5)
     return odd.groupBy(F.coalesce(why, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("points"), F.sum("ts").alias("ts_sum"))
 
 
@@ -120,7 +118,7 @@ def _slots(method: str):
     return run
 
 
-for _method, _value in (("sum", "sum(val)"), ("avg", "avg(val)"), ("custom1", "sum(val)")):
+for _method, _value in (("sum", "sum(val)"), ("avg", "avg(val)"), ("custom1", "CASE WHEN suffix(any_value(name), '.mean') THEN avg(val) ELSE sum(val) END")):
     QUERIES[f"agg_slots_{_method}"] = _slots(_method)
     ORACLE_SQL[f"agg_slots_{_method}"] = f"WITH {DEEP} SELECT {AGG_SQL} AS name, ts - ts % 60 AS ts, {fixed_sql(_value)} AS val FROM d GROUP BY 1, 2"
 
@@ -131,10 +129,10 @@ ORACLE_SQL["agg_slots_latency"] = f"""WITH {DEEP}, a AS (SELECT {AGG_SQL} AS agg
     UNION ALL SELECT agg || '.mean', ts, {fixed_sql("mean")} FROM g UNION ALL SELECT agg || '.count', ts, {fixed_sql("n")} FROM g"""
 
 
-@query(f"""WITH {DEEP} SELECT name, count(*) AS points FROM d WHERE NOT regexp_matches(name, '^pod[01]\\.ecom\\.') OR arrival > ts - ts % 60 + 120 GROUP BY name""")
+@query(f"""WITH {DEEP} SELECT name, count(*) AS points FROM d WHERE NOT regexp_matches(name, '^plant[01]\\.line') OR arrival > ts - ts % 60 + 120 GROUP BY name""")
 def agg_drop_original(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = deep_points(spark, sf_dir).withColumn("late", rules.live_late(F.col("ts"), F.col("arrival")))
-    found = rules.match_rules(deep.select("name").distinct(), rules.parse_rules("gone.<<m>> (60) drop = sum pod[01].ecom.<<m>>"))
+    found = rules.match_rules(deep.select("name").distinct(), rules.parse_rules("gone.<<m>> (60) drop = sum plant[01].line<<m>>"))
     return rules.forwarded(deep, found).groupBy("name").agg(F.count(F.lit(1)).alias("points"))
 
 
@@ -180,8 +178,8 @@ def archive_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POINTS} SELECT a.db, count(*) AS points FROM p, (VALUES ('60s24h', 60, 86400), ('5m7d', 300, 604800), ('30m2y', 1800, 63072000)) AS a(db, step, keep) WHERE ts - ts % step >= {NOW} - keep - ({NOW} - keep) % step GROUP BY 1")
 def archive_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    flags = p.agg(*[F.count_if(includes(F.col("ts"), a, NOW)).alias(a.db) for a in (P60, P5, P30)])
-    return flags.select(F.explode(F.array(*[F.struct(F.lit(a.db).alias("db"), F.col(a.db).alias("points")) for a in (P60, P5, P30)])).alias("r")).select("r.db", "r.points").filter("points > 0")
+    left = [store.expire(p, a, NOW).select(F.lit(a.db).alias("db")) for a in (P60, P5, P30)]
+    return left[0].unionByName(left[1]).unionByName(left[2]).groupBy("db").agg(F.count(F.lit(1)).alias("points"))
 
 
 _METHODS = [("sum", r"\.purchase\."), ("min", "u1$"), ("max", "u2$"), ("last", "u3"), ("avg", "*")]
@@ -538,9 +536,10 @@ def log_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offline.request_stats(offline.parse_requests(e.select(line.alias("value"))))
 
 
-@query(f"WITH {DEEP} SELECT string_split(name, '.')[1] AS namespace, count(*) AS points, max(arrival - ts) AS max_lag FROM d GROUP BY 1")
+@query(f"""WITH {DEEP}, g AS (SELECT string_split(name, '.')[1] AS namespace, count(*) AS points, max(arrival - ts) AS max_lag, list_sort(list(arrival - ts)) AS lags FROM d GROUP BY 1)
+    SELECT namespace, points, max_lag, lags[CAST(floor(points * 50 / 100) AS BIGINT) + 1] AS p50, lags[CAST(floor(points * 95 / 100) AS BIGINT) + 1] AS p95, lags[CAST(floor(points * 99 / 100) AS BIGINT) + 1] AS p99 FROM g""")
 def ingest_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offline.ingest_latency(deep_points(spark, sf_dir)).select("namespace", "points", "max_lag")
+    return offline.ingest_latency(deep_points(spark, sf_dir), exact=True).select("namespace", "points", "max_lag", "p50", "p95", "p99")
 
 
 @query(f"""WITH {POINTS}, a AS (SELECT name, ts - ts % 3600 AS ts, arg_max(val, seq) AS val FROM p WHERE seq % 3 <> 0 GROUP BY 1, 2), b AS (SELECT name, ts - ts % 3600 AS ts, arg_max(val, seq) AS val FROM p WHERE seq % 3 <> 1 GROUP BY 1, 2)

@@ -69,7 +69,7 @@ def drop_repeated(points: DataFrame, precision: int = 60, ttl_minutes: int | Non
 
 
 def slots(points: DataFrame, aggregation: Sequence[rules.Rule], max_slots: int = rules.RECOVERY_SLOTS) -> DataFrame:
-    """(name, val, ts) of closed 60-second slots: event time, closed ``max_slots`` slots behind the latest."""
+    """(name, val, ts) of closed 60-second slots, as ``rules.aggregate`` gives them: event time, closed ``max_slots`` slots behind the latest."""
     name = F.col("name")
     results = F.array(*[
         F.when(name.rlike(r.pattern), F.struct(F.regexp_replace(name, r.pattern, r.replacement()).alias("agg"), F.lit(r.method).alias("method"), F.lit(not r.go_on).alias("stop")))
@@ -77,17 +77,19 @@ def slots(points: DataFrame, aggregation: Sequence[rules.Rule], max_slots: int =
     ])
     found = points.withColumn("found", F.filter(results, lambda x: x.isNotNull())).filter(F.size("found") > 0)
     last = F.array_position(F.transform("found", lambda x: x["stop"]), True).cast("int")
-    rows = found.select("val", F.timestamp_seconds(F.col("ts") - F.pmod("ts", F.lit(rules.SLOT))).alias("slot"), F.explode(F.when(last > 0, F.slice("found", F.lit(1), last)).otherwise(F.col("found"))).alias("r"))
-    grouped = rows.withWatermark("slot", f"{max_slots * rules.SLOT} seconds").groupBy(F.window("slot", f"{rules.SLOT} seconds"), F.col("r.agg").alias("name"), F.col("r.method").alias("method"))
-    sums = grouped.agg(F.sum("val").alias("sum"), F.count("val").alias("count"))
-    mean = F.col("sum") / F.col("count")
-    value = F.when((F.col("method") == "avg") | ((F.col("method") == "custom1") & rules.is_average(F.col("name"))), mean).otherwise(F.col("sum"))
-    return sums.select("name", value.alias("val"), F.unix_seconds(F.col("window.start")).alias("ts"))
+    rows = found.select("val", rules.lag_of(points).alias("lag"), F.timestamp_seconds(F.col("ts") - F.pmod("ts", F.lit(rules.SLOT))).alias("slot"), F.explode(F.when(last > 0, F.slice("found", F.lit(1), last)).otherwise(F.col("found"))).alias("r"))
+    grouped = rows.withWatermark("slot", f"{max_slots * rules.SLOT} seconds").groupBy(F.window("slot", f"{rules.SLOT} seconds"), F.col("r.agg").alias("agg"), F.col("r.method").alias("method"))
+    return rules.slot_values(grouped.agg(*rules.slot_sums()).withColumn("ts", F.unix_seconds(F.col("window.start"))))
 
 
 def store_and_relay(archive: ArchiveTable, now: Callable[[], int], routes: Sequence[relay.Route] = (), sinks: relay.Sinks | None = None, audit: Callable[[DataFrame], None] | None = None,
-                    allow: Sequence[str] = (), block: Sequence[str] = (), **limits) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: audit, filters and lists, then the store, then the relay. An upsert may be repeated safely."""
+                    allow: Sequence[str] = (), block: Sequence[str] = (), aggregation: Callable[[], Sequence[rules.Rule]] | None = None, precision: int | None = None, **limits) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: audit, filters, repeated points and lists, drop rules, then the store, then the relay. An upsert may be repeated safely.
+
+    ``aggregation`` gives the rules that hold now (a reloaded file's, say): points that a drop rule takes aren't stored unless they are
+    late for their slot; the slots themselves come from ``slots``, whose output goes through a function of this kind, too. With ``precision``, a point whose
+    interval is that of the one before it in the batch is dropped; ``drop_repeated`` does so across batches.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         if "seq" not in batch.columns:
@@ -97,7 +99,13 @@ def store_and_relay(archive: ArchiveTable, now: Callable[[], int], routes: Seque
             if audit:
                 audit(batch)
             good = filters.listed(batch.filter(filters.passes(now=now(), **limits)), allow, block)
-            archive.write(good, now(), version=epoch)
+            if precision:
+                good = filters.drop_repeated(good, precision)
+            if aggregation and (held := list(aggregation())):
+                if "arrival" in good.columns:
+                    good = good.withColumn("late", rules.live_late(F.col("ts"), F.col("arrival")))
+                good = rules.forwarded(good, rules.match_rules(good.select("name").distinct(), held))
+            archive.write(good, now())
             if routes:
                 (sinks or relay.Sinks()).write_all(relay.route(good, routes))
         finally:

@@ -56,11 +56,11 @@ class _UdpReader(SimpleDataSourceStreamReader):
         return iter(())
 
 
-def generated_points(spark: SparkSession, metrics: int, minutes: int, start: int, pods: int = 3, realms: int = 5) -> DataFrame:
+def generated_points(spark: SparkSession, metrics: int, minutes: int, start: int, plants: int = 3, lines: int = 5) -> DataFrame:
     """Synthetic points: each metric once a minute, with values that depend on the metric and the minute."""
     n = F.col("id")
     metric, minute = F.pmod(n, F.lit(metrics)), F.floor(n / metrics)
-    name = F.format_string("pod%d.ecom.r%d.t%d.blade%d.x.m%d.count", F.pmod(metric, F.lit(pods)), F.pmod(metric, F.lit(realms)), F.pmod(metric, F.lit(3)), F.pmod(metric, F.lit(7)), metric)
+    name = F.format_string("plant%d.line%d.cell%d.m%d.total", F.pmod(metric, F.lit(plants)), F.pmod(metric, F.lit(lines)), F.pmod(metric, F.lit(7)), metric)
     value = (F.pmod(F.xxhash64("id"), F.lit(10_000)) / 100).cast("double")
     return spark.range(metrics * minutes).select(name.alias("name"), value.alias("val"), (start + 60 * minute).cast("long").alias("ts"), F.col("id").alias("seq"))
 
