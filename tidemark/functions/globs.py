@@ -42,8 +42,14 @@ def glob_matches(name: Column, pattern: str) -> Column:
     for i, segment in enumerate(segments):
         if segment != "*":
             matches = matches & segment_matches(own[i], segment)
-    literal = pattern[: _MAGIC.search(pattern).start()]
-    return (name.startswith(literal) & matches) if literal else matches
+    start = literal(pattern)
+    return (name.startswith(start) & matches) if start else matches
+
+
+def literal(pattern: str) -> str:
+    """The text before the first wildcard."""
+    m = _MAGIC.search(pattern)
+    return pattern[: m.start()] if m else pattern
 
 
 def wildcard_matches(name: Column, wildcard: str) -> Column:

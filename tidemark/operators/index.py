@@ -137,10 +137,15 @@ def delete_names(nodes: DataFrame, pattern: str, exclude: Sequence[str] = (), dr
 
     A child named in ``exclude`` stays with all below it, and so do its ancestors. Points stay in the archives.
     """
-    roots = suffix_matches(nodes, pattern[3:].split(".")) if pattern.startswith("**.") else find(nodes, pattern, skip_invalid=False, max_series=None)
-    roots = roots.select(F.col("name").alias("root"))
-    up = nodes.select("name", "is_leaf", F.explode(F.array_union(names.ancestors(F.col("name")), F.array("name"))).alias("root"))
-    below = up.join(roots, "root").select("name", "is_leaf", "root")
+    if pattern.startswith("**."):
+        roots = suffix_matches(nodes, pattern[3:].split(".")).select(F.col("name").alias("root"))
+        up = nodes.select("name", "is_leaf", F.explode(F.array_union(names.ancestors(F.col("name")), F.array("name"))).alias("root"))
+        below = up.join(roots, "root").select("name", "is_leaf", "root")
+    else:
+        # A node's only possible root is its first segments, as many as the glob has: nothing to join, and the glob's prefix prunes the scan.
+        size = len(globs.split_pattern(pattern))
+        root = F.when(names.depth(F.col("name")) >= size, names.prefix(F.col("name"), size))
+        below = nodes.filter(F.col("name").startswith(globs.literal(pattern))).select("name", "is_leaf", root.alias("root")).filter(globs.glob_matches(F.col("root"), pattern))
     deep = F.slice(names.parts(F.col("name")), names.depth(F.col("root")) + 1, names.depth(F.col("name")))
     kept = F.arrays_overlap(deep, F.array(*[F.lit(e) for e in exclude])) if exclude else F.lit(False)
     below = below.withColumn("kept", F.coalesce(kept, F.lit(False)))
