@@ -284,7 +284,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample
     prior = (toxic + 1) / (toxic + clean + 2) if toxic + clean else 0.05
     model = fit_label_model(patterns, voters, min(0.5, prior), work)
 
-    labelled = features.join(F.broadcast(known), "doc_id").select("votes", "hits", "label").limit(2 * sample)
+    labelled = features.join(F.broadcast(known), "doc_id").orderBy(order, "doc_id", "votes", "hits").limit(2 * sample).select("votes", "hits", "label")
     others = features.orderBy(order, "doc_id").limit(sample).select("votes", "hits", F.lit(None).cast("int").alias("label"))
     table = labelled.unionByName(others).toArrow()
     held = [np.frombuffer(x, "<u2") for x in table.column("hits").to_pylist()]
