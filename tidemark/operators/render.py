@@ -40,10 +40,11 @@ def pick(query: Query, policies: Sequence[Policy]) -> tuple[Policy, int, int] |
 def dense(series: DataFrame, points: DataFrame, start: int, until: int, step: int) -> DataFrame:
     """(name, ts, val) at every step from start to until for each name of ``series``; val is null in gaps.
 
-    One shuffle on the name: the series' arrays are filled first and then laid out in rows, so the grid is never shuffled.
+    The grid of all series and steps meets the points by name and time. ``arrays`` gives the same values in one row a series.
     """
-    rows = arrays(series, points, start, until, step).select("name", F.posexplode("values").alias("place", "val"))
-    return rows.select("name", (F.lit(start) + F.col("place") * F.lit(step)).cast("long").alias("ts"), "val")
+    own = points.filter(F.col("ts").between(start, until)).select("name", "ts", "val")
+    grid = series.select("name", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(until).cast("long"), F.lit(step).cast("long"))).alias("ts"))
+    return grid.join(own, ["name", "ts"], "left")
 
 
 def arrays(series: DataFrame, points: DataFrame, start: int, until: int, step: int) -> DataFrame:
