@@ -332,3 +332,30 @@ def test_quota_and_namespaces(frame):
     out = {r.namespace: r.removable for r in index.inactive_namespaces(p, NOW).collect()}
     assert out == {"b": True}
     assert filters.within_quota(p, 3, 10**10).count() == 3
+
+
+def test_running_values_over_groups_of_blocks(frame):
+    from tidemark.functions import running
+
+    blocks = frame([(k, (k * 37) % 11) for k in range(0, 60, 2)], "block long, top long")
+    rows = sorted((r.block, r.top) for r in blocks.collect())
+    for kind, how in (("max", max), ("sum", sum)):
+        got = {r.block: r.earlier for r in running.before(blocks, "block", "top", kind, group=8).collect()}
+        assert got == {b: how([t for c, t in rows if c < b]) if b else None for b, _ in rows}
+    assert running.before(blocks.limit(0), "block", "top", "sum").collect() == []
+
+
+def test_request_log_shapes(frame):
+    lines = frame([
+        ('web:443 10.0.0.1 - kim [1/Jan] "GET /a?b HTTP/1.1" 200 70 "-" "agent"',),
+        ('10.0.0.1 - - [1/Jan] "POST /b HTTP/1.1" 304 -',),
+        ('10.0.0.1 - - [1/Jan] "GET /c HTTP/1.1" 200 5 "https://h/dashboard/db/sea?x=1" "agent" "-" Len: 31 Rtime: 0.250 Reqs: 2 UPSTR: 10.0.0.2:80 Cache: - POST-DATA: 7.5',),
+        ("no request",),
+    ], "value string")
+    plain = [(r.url, r.status, r.bytes, r.ms) for r in offline.parse_requests(lines, "mellon").collect()]
+    assert plain == [("/a?b", 200, 70, None), ("/b", 304, 0, None), ("/c", 200, 5, None)]
+    timed = offline.parse_requests(lines, "nginx")
+    assert [(r.url, r.ms, r.length, r.bytes, r.dashboard) for r in timed.collect()] == [("/c", 250.0, 31, 5, "sea")]
+    assert [tuple(r) for r in offline.dashboard_counts(timed).collect()] == [("sea", 1)]
+    stats = offline.request_stats(offline.parse_requests(lines, "mellon"), of="bytes").filter("status = 200").first()
+    assert (stats.total_bytes, stats.max_bytes, stats.p95) == (75, 70, 70)

@@ -84,3 +84,19 @@ def test_point_lines(frame):
     p = frame([("a", 0.999, 60, 1), ("b", -0.5, 60, 2)], "name string, val double, ts long, seq long")
     assert [r.value for r in relay.point_lines(p).collect()] == ["a 1 60", "b -0.5 60"]
     assert [r.value for r in relay.point_lines(p, compat=True).collect()] == ["a 0.10 60", "b 0.5 60"]
+
+
+def test_statistics_of_samples(frame):
+    rows = [("wait time", float(k), 1000 + k) for k in range(100)] + [("wait time", None, 1000), ("one", 2.0, 1000)]
+    got = {r.name: (r.value, r.ts) for r in formats.sample_statistics(frame(rows, "name string, val double, ts long")).collect()}
+    assert got["wait-time.count"] == ("100", 1099) and got["wait-time.mean"] == ("49.50", 1099) and got["wait-time.stddev"] == ("29.01", 1099)
+    assert got["wait-time.p95"][0] == "95.00" and got["wait-time.m1_rate"][0] == "1.00" and got["one.stddev"][0] == "0.00" and len(got) == 14
+
+
+def test_streams_of_pieces_are_one_list(spark):
+    from pyspark.sql import functions as F
+
+    series = spark.range(0, 5000, 1, 6).select(F.concat(F.lit("s"), "id").alias("name"), F.lit(0).alias("start"), F.lit(60).alias("end"), F.lit(60).alias("step"), F.array(F.col("id").cast("double"), F.lit(None)).alias("values"))
+    pieces = list(formats.series_pickle_stream(series))
+    assert len(pieces) > 3 and [(r["name"], r["values"]) for r in pickle.loads(b"".join(pieces))] == [(f"s{k}", [float(k), None]) for k in range(5000)]
+    assert pickle.loads(formats.series_pickle(series.limit(0))) == [] and formats.series_msgpack(series)[:5] == b"\xdd" + struct.pack(">I", 5000)

@@ -1,7 +1,8 @@
 import socket
+import threading
 import time
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from tidemark.functions.policies import Policy
 from tidemark.operators import filters, relay, rules
@@ -78,9 +79,45 @@ def test_live_path_drops_repeats_and_ruled_out_points(spark, tmp_path):
     assert sorted((r.name, r.val) for r in archive.read().collect()) == [("a.x", 10.0), ("b.x", 3.0), ("b.y", 40.0)]
 
 
+def test_records_from_a_sink_to_a_stream(spark, tmp_path):
+    p = spark.createDataFrame([(f"r.n{k % 7}", k + 0.5, NOW + k, k) for k in range(40)], "name string, val double, ts long, seq long")
+    sinks = relay.Sinks(most=3, clock=lambda: NOW + 9)
+    for part in (p.filter("seq < 25"), p.filter("seq >= 25").drop("seq")):
+        sinks.write(part, f"records:{tmp_path / 'records'}")
+    out = run(ingest.record_files(spark, str(tmp_path / "records"), max_files=1), "records", tmp_path).collect()
+    assert sorted((r.name, r.val, r.ts) for r in out) == sorted((r.name, r.val, r.ts) for r in p.collect())
+    assert {r.arrival for r in out} == {NOW + 9}
+
+
+def test_a_sender_deals_pieces_over_addresses_and_skips_a_dead_one(tmp_path):
+    got, servers = [], []
+    for _ in range(2):
+        s = socket.create_server(("127.0.0.1", 0))
+        servers.append(s)
+
+    def serve(s):
+        conn, _ = s.accept()
+        with conn:
+            while data := conn.recv(1 << 16):
+                got.append(data)
+
+    threads = [threading.Thread(target=serve, args=(s,)) for s in servers]
+    for t in threads:
+        t.start()
+    with socket.create_server(("127.0.0.1", 0)) as gone:
+        dead = gone.getsockname()
+    lines = [f"s.n{k} {k} 60" for k in range(50)]
+    relay._sender([dead, *(s.getsockname() for s in servers)], most=100)(iter(Row(value=x) for x in lines))
+    for t in threads:
+        t.join(30)
+    for s in servers:
+        s.close()
+    assert sorted(b"".join(got).decode().split("\n")) == sorted([*lines, ""]) and len(got) >= 2
+
+
 def test_gaps(spark, tmp_path):
-    table = recovery.GapTable(str(tmp_path / "gaps.json"))
-    check = recovery.Checkpoint(str(tmp_path / "checkpoint"))
+    table = recovery.GapTable(spark, str(tmp_path / "gaps.json"))
+    check = recovery.Checkpoint(spark, str(tmp_path / "checkpoint"))
     assert check.read(1_000_000) == 700_000
     check.write(123_456)
     assert check.read(0) == 120_000

@@ -54,10 +54,6 @@ def coarser(policies: list[Policy], policy: Policy) -> Policy | None:
     return next((p for p in policies if p.precision > policy.precision), None)
 
 
-def finest_for(policies: list[Policy], ts: int, now: int) -> Policy | None:
-    return next((p for p in policies if p.includes(ts, now)), None)
-
-
 def interval(ts: Column, precision: int) -> Column:
     return ts - F.pmod(ts, F.lit(precision))
 

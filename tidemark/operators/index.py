@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import globs, names
+from ..functions import globs, names, shared
 from ..functions.policies import DEFAULT
 
 MAX_SERIES, ROOT_ID = 30_000, 1
@@ -56,12 +56,13 @@ def leaf_conflicts(candidates: DataFrame, nodes: DataFrame | None = None) -> Dat
 def assign_ids(new: DataFrame, highest: int) -> DataFrame:
     """(name, id) with ids from ``highest`` + 1 on, in order of name.
 
-    Names are numbered within ranges and the ranges' sizes are summed, so no task numbers all of them.
+    Names are numbered within ranges and the ranges' sizes are summed, so no task numbers all of them. Ranges depend on a sample, so the
+    names are written with their places before the sizes are taken.
     """
     n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = new.select("name").distinct().repartitionByRange(n, "name").sortWithinPartitions("name")
     placed = ordered.select("name", F.monotonically_increasing_id().alias("__at"))
-    placed = placed.select("name", F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__row"))
+    placed = shared.checkpointed(placed.select("name", F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1).alias("__row")))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", before.alias("__before"))  # a row for each partition

@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import names
-from ..functions.policies import Policy, interval, parse_policies
+from ..functions import names, running
+from ..functions.policies import Policy, parse_policies
 
 
 def unique_names(lines: DataFrame) -> DataFrame:
@@ -56,8 +56,7 @@ def with_lag(points: DataFrame, block: int = 4096) -> DataFrame:
     """
     own = points.withColumn("__block", F.floor(F.col("seq") / block))
     tops = own.groupBy("__block").agg(F.max("ts").alias("__top"))
-    earlier = F.max("__top").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.select("__block", earlier.alias("__earlier"))
+    tops = running.before(tops, "__block", "__top", "max").withColumnRenamed("earlier", "__earlier")
     inner = F.max("ts").over(Window.partitionBy("__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     reached = F.greatest(F.col("__inner"), F.col("__earlier"))
     rows = own.join(tops, "__block").withColumn("__inner", inner)
@@ -73,19 +72,33 @@ def worst_lags(points: DataFrame, top: int = 20) -> DataFrame:
     return with_lag(points).filter("lag > 0").select("seq", "name", "ts", "lag").orderBy(F.desc("lag"), "seq").limit(top)
 
 
-#: The shapes of request logs. Groups: status, milliseconds or seconds, and the request line in between.
+#: Request, status and bytes of a log line.
+_REQUEST = r'"[A-Z]+ (\S+)[^"]*" (\d{3}) (\d+|-)'
+#: Shapes of request logs: where the time stands and its milliseconds, and where the length of the request stands.
 LOG_SHAPES = {
-    "jetty": (r'"[A-Z]+ (\S+)[^"]*" (\d{3}) \S+(?: "[^"]*" "[^"]*")? (\d+)\s*$', 1.0),
-    "nginx": (r'"[A-Z]+ (\S+)[^"]*" (\d{3}) \d+ .*?(\d+\.\d+)\s*$', 1000.0),
+    "jetty": (r" (\d+)\s*$", 1.0, None),
+    "nginx": (r"(?:Rtime: (?=\S+ )| (?=\S+\s*$))(\d+\.\d+)", 1000.0, r"Len: (\d+)"),
+    "mellon": (None, 1.0, None),
 }
 
 
 def parse_requests(lines: DataFrame, shape: str = "jetty") -> DataFrame:
-    """url, status, ms, dashboard of request-log lines (column value); lines of another shape are left out."""
-    pattern, scale = LOG_SHAPES[shape]
-    rows = lines.filter(F.col("value").rlike(pattern))
-    cut = lambda k: F.regexp_extract("value", pattern, k)
-    return rows.select(cut(1).alias("url"), cut(2).cast("int").alias("status"), (cut(3).cast("double") * scale).alias("ms"), F.nullif(F.regexp_extract("value", r"/dashboard/(?:db/)?([^/?\s\"]+)", 1), F.lit("")).alias("dashboard"))
+    """url, status, ms, dashboard, bytes, length of request-log lines (column value); lines of another shape are left out.
+
+    ``ms`` and ``length`` are null where the shape has none.
+    """
+    when, scale, size = LOG_SHAPES[shape]
+    cut = lambda pattern, k: F.nullif(F.regexp_extract("value", pattern, k), F.lit(""))
+    rows = lines.filter(F.col("value").rlike(f"{_REQUEST}.*{when}" if when else _REQUEST))
+    ms = cut(f"{_REQUEST}.*?{when}", 4).cast("double") * scale if when else F.lit(None).cast("double")
+    length = cut(size, 1).cast("long") if size else F.lit(None).cast("long")
+    sent = F.coalesce(F.nullif(cut(_REQUEST, 3), F.lit("-")).cast("long"), F.lit(0).cast("long"))  # "-" is no bytes
+    return rows.select(cut(_REQUEST, 1).alias("url"), cut(_REQUEST, 2).cast("int").alias("status"), ms.alias("ms"), cut(r"/dashboard/(?:db/)?([^/?\s\"]+)", 1).alias("dashboard"), sent.alias("bytes"), length.alias("length"))
+
+
+def dashboard_counts(requests: DataFrame) -> DataFrame:
+    """dashboard, requests: how often each dashboard was asked for."""
+    return requests.filter("dashboard is not null").groupBy("dashboard").agg(F.count(F.lit(1)).alias("requests"))
 
 
 def nth_percentile(value: Column, percents: Sequence[int], rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -102,10 +115,11 @@ def nth_percentile(value: Column, percents: Sequence[int], rows: DataFrame, keys
     return placed.groupBy(*keys).agg(*[F.max(F.when((at(p) < F.col("__upto")) & (at(p) >= F.col("__upto") - F.col("__c")), F.col("__v"))).alias(f"p{p}") for p in percents])
 
 
-def request_stats(requests: DataFrame, keys: Sequence[str] = ("status",)) -> DataFrame:
-    """requests, total_ms, mean_ms, max_ms, p95, p99 by keys; percentiles are elements of the sorted list."""
-    sums = requests.groupBy(*keys).agg(F.count(F.lit(1)).alias("requests"), F.sum("ms").alias("total_ms"), (F.sum("ms") / F.count(F.lit(1))).alias("mean_ms"), F.max("ms").alias("max_ms"))
-    return sums.join(nth_percentile(F.col("ms"), (95, 99), requests, keys), list(keys))
+def request_stats(requests: DataFrame, keys: Sequence[str] = ("status",), of: str = "ms") -> DataFrame:
+    """requests, total, mean and maximum of column ``of`` (total_ms, mean_ms, max_ms, say), p95, p99 by keys; percentiles are elements of the sorted list."""
+    count = F.count(F.lit(1))
+    sums = requests.groupBy(*keys).agg(count.alias("requests"), F.sum(of).alias(f"total_{of}"), (F.sum(of) / count).alias(f"mean_{of}"), F.max(of).alias(f"max_{of}"))
+    return sums.join(nth_percentile(F.col(of), (95, 99), requests.filter(F.col(of).isNotNull()), keys), list(keys), "left")
 
 
 def error_counts(lines: DataFrame) -> DataFrame:
@@ -158,8 +172,3 @@ def ingest_latency(points: DataFrame, percents: Sequence[float] = (0.5, 0.95, 0.
         return sums.join(nth_percentile(F.col("lag"), [round(100 * p) for p in percents], lags, ["namespace"]), "namespace")
     rows = [F.percentile_approx(lag, p, 10_000).alias(f"p{round(100 * p)}") for p in percents]
     return points.groupBy(names.namespace(F.col("name")).alias("namespace")).agg(F.count(F.lit(1)).alias("points"), F.max(lag).alias("max_lag"), *rows)
-
-
-def by_interval(points: DataFrame, precision: int) -> DataFrame:
-    """Points per interval, for a quick look at a load."""
-    return points.groupBy(interval(F.col("ts"), precision).alias("ts")).agg(F.count(F.lit(1)).alias("points"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import socket
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import config, names
+from ..functions import config, names, running
+from ..sources import binary
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def round_robin(points: DataFrame, n: int, block: int = 1 << 16) -> DataFrame:
     """
     own = points.withColumn("__block", F.floor(F.col("seq") / block))
     sizes = own.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    sizes = sizes.select("__block", (F.sum("__n").over(Window.orderBy("__block")) - F.col("__n")).alias("__before"))
+    sizes = running.before(sizes, "__block", "__n", "sum").select("__block", F.coalesce("earlier", F.lit(0)).alias("__before"))
     place = F.row_number().over(Window.partitionBy("__block").orderBy("seq")) - 1
     return own.withColumn("__place", place).join(sizes, "__block").withColumn("turn", F.pmod(F.col("__before") + F.col("__place"), F.lit(n)).cast("int")).drop("__block", "__place", "__before")
 
@@ -69,14 +71,14 @@ def point_lines(points: DataFrame, compat: bool = False) -> DataFrame:
 
 
 class Sinks:
-    """Writers by kind of destination: ``null:``, ``file:path``, ``kinesis:stream``, ``service:host:port``, ``host:port``.
+    """Writers by kind of destination: ``null:``, ``file:path``, ``records:path``, ``kinesis:stream``, ``service:host:port``, ``host:port``.
 
     Each gets (DataFrame of points, rest of the destination). More kinds can be registered.
     """
 
-    def __init__(self, compat: bool = False) -> None:
-        self.compat = compat
-        self.kinds: dict[str, Callable[[DataFrame, str], None]] = {"null": self._null, "file": self._file, "service": self._service, "socket": self._socket}
+    def __init__(self, compat: bool = False, most: int = 500, clock: Callable[[], float] = time.time) -> None:
+        self.compat, self.most, self.clock = compat, most, clock
+        self.kinds: dict[str, Callable[[DataFrame, str], None]] = {"null": self._null, "file": self._file, "records": self._records, "service": self._service, "socket": self._socket}
 
     def register(self, kind: str, write: Callable[[DataFrame, str], None]) -> None:
         self.kinds[kind] = write
@@ -101,33 +103,63 @@ class Sinks:
     def _file(self, points: DataFrame, rest: str) -> None:
         point_lines(points, self.compat).write.mode("overwrite").text(rest)
 
+    def _records(self, points: DataFrame, rest: str) -> None:
+        """Gzip records of up to ``most`` points, added to a folder that ``ingest.record_files`` reads as a stream."""
+        rows = points if "seq" in points.columns else points.withColumn("seq", F.monotonically_increasing_id())
+        batches = envelope_batches(rows, self.most, int(self.clock() * 1000))
+        batches.select("partition_key", binary.zipped("lines").alias("content")).write.mode("append").parquet(rest)
+
     def _socket(self, points: DataFrame, rest: str) -> None:
         host, _, port = rest.rpartition(":")
         point_lines(points, self.compat).foreachPartition(_sender([(host, int(port))]))
 
     def _service(self, points: DataFrame, rest: str) -> None:
-        """One connection for each partition, to an address of the service, in turn."""
+        """Pieces of each partition to the addresses of the service in turn; the name is looked up again for every batch."""
         host, _, port = rest.rpartition(":")
         ends = sorted({(a[4][0], int(port)) for a in socket.getaddrinfo(host, int(port), type=socket.SOCK_STREAM)})
         point_lines(points, self.compat).foreachPartition(_sender(ends))
 
 
-def _sender(ends: list[tuple[str, int]], tries: int = 3) -> Callable:
+#: Bytes of text sent at a time.
+PIECE = 1 << 18
+
+
+def _sender(ends: list[tuple[str, int]], tries: int = 3, most: int = PIECE) -> Callable:
+    """Sends a partition in pieces of whole lines, each to the next address. A piece that fails goes to the one after it, so it may arrive twice."""
+
     def send(rows) -> None:
         from pyspark import TaskContext
 
-        context = TaskContext.get()
-        data = "".join(r.value + "\n" for r in rows).encode()
-        if not data:
-            return
-        for k in range(tries):
-            try:
-                with socket.create_connection(ends[((context.partitionId() if context else 0) + k) % len(ends)], timeout=10) as s:
-                    s.sendall(data)
-                return
-            except OSError:
-                if k == tries - 1:
-                    raise
+        context, held = TaskContext.get(), {}
+        turn = context.partitionId() if context else 0
+
+        def deliver(data: bytes) -> None:
+            nonlocal turn
+            for k in range(tries):
+                end, turn = ends[turn % len(ends)], turn + 1
+                try:
+                    if end not in held:
+                        held[end] = socket.create_connection(end, timeout=10)
+                    held[end].sendall(data)
+                    return
+                except OSError:
+                    if end in held:
+                        held.pop(end).close()
+                    if k == tries - 1:
+                        raise
+
+        try:
+            piece = bytearray()
+            for r in rows:
+                piece += r.value.encode() + b"\n"
+                if len(piece) >= most:
+                    deliver(bytes(piece))
+                    piece.clear()
+            if piece:
+                deliver(bytes(piece))
+        finally:
+            for s in held.values():
+                s.close()
 
     return send
 

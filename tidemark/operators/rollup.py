@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -83,11 +82,3 @@ def propagate(points: DataFrame, fine: int, coarse: int, x_files_factor: float =
     aggregates = {"avg": F.avg("val"), "sum": F.sum("val"), "min": F.min("val"), "max": F.max("val"), "last": F.max_by("val", "ts")}
     rows = points.dropDuplicates(["name", "ts"]).groupBy("name", interval(F.col("ts"), coarse).alias("ts")).agg(aggregates[method].alias("val"), F.count("val").alias("known"))
     return rows.filter(F.col("known") / F.lit(coarse // fine) >= x_files_factor).select("name", "ts", "val")
-
-
-def check_pattern(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True

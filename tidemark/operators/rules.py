@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import config
+from ..functions import config, running
 from ..functions.policies import interval
 
 METHODS = ("sum", "avg", "custom1", "latency")
@@ -97,13 +97,12 @@ def live_late(ts: Column, arrival: Column) -> Column:
 def recovery_late(points: DataFrame, max_slots: int = RECOVERY_SLOTS) -> DataFrame:
     """Adds ``late``: the slot lies more than ``max_slots`` slots before the latest slot that had arrived.
 
-    The running maximum is taken in two steps, within ranges of ``seq`` and across them, so no task gets all points.
+    The running maximum is taken within ranges of ``seq`` and across them, so no task gets all points.
     """
     slot = interval(F.col("ts"), SLOT)
     with_block = points.withColumn("__slot", slot).withColumn("__block", F.floor(F.col("seq") / 4096))
     tops = with_block.groupBy("__block").agg(F.max("__slot").alias("__top"))
-    earlier = F.max("__top").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
-    tops = tops.withColumn("__earlier", earlier).drop("__top")
+    tops = running.before(tops, "__block", "__top", "max").withColumnRenamed("earlier", "__earlier")
     own = F.max("__slot").over(Window.partitionBy("__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     joined = with_block.join(tops, "__block").withColumn("__own", own)
     reached = F.coalesce(F.greatest("__own", "__earlier"), F.lit(-(1 << 62)))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import admin, index, offline, render, rollup
+from ..operators import admin, filters, index, offline, relay, render, rollup
 from ..sources import binary, formats, lines
 from .base import NODES, NOW, POINTS, nodes, points
 from .queries import query
@@ -140,3 +140,66 @@ def query_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, i = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
     rows = e.select(F.col("event_type").alias("query"), (F.col("user_id") % 900).alias("series"), (i % 7).alias("wait_ms"), (i % 11).alias("read_ms"), (i % 13).alias("write_ms"))
     return render.query_stats(rows).select("query", "series", "logged", "min_wait_ms", "max_read_ms", "sum_write_ms")
+
+
+@query("""WITH r AS (SELECT CAST(user_id % 3 + 200 AS INTEGER) AS status, CASE WHEN event_id % 50 = 0 THEN 0 ELSE (event_id * 7919) % 4001 END AS b FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY status) AS n FROM r)
+    SELECT status, count(*) AS requests, CAST(sum(b) AS BIGINT) AS total_bytes, sum(b) / count(*) AS mean_bytes, max(b) AS max_bytes, max(CASE WHEN i = floor(n * 95 / 100.0) THEN b END) AS p95, max(CASE WHEN i = floor(n * 99 / 100.0) THEN b END) AS p99 FROM k GROUP BY status""")
+def log_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a proxy with a host in front and no time of service."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sent = F.when(F.col("event_id") % 50 == 0, "-").otherwise(((F.col("event_id") * 7919) % 4001).cast("string"))
+    line = F.concat(F.lit('front:443 10.1.1.1 - someone [x] "POST /graph?t='), F.col("user_id").cast("string"), F.lit(' HTTP/1.1" '), (F.col("user_id") % 3 + 200).cast("string"), F.lit(" "), sent, F.lit(' "-" "agent"'))
+    return offline.request_stats(offline.parse_requests(e.select(line.alias("value")), "mellon"), of="bytes")
+
+
+def _proxied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    referer = F.when(F.col("user_id") % 5 == 0, "-").otherwise(F.concat(F.lit("https://h/dashboard/db/board-"), (F.col("user_id") % 5).cast("string"), F.lit("?orgId=1")))
+    i = F.col("event_id").cast("string")
+    return e.select(F.concat(F.lit('10.1.1.1 - - [x] "GET /render HTTP/1.1" 200 17 "'), referer, F.lit('" "agent" "-" Len: '), i, F.lit(" Rtime: "), (F.col("event_id") % 8).cast("string"), F.lit(".125 Reqs: 1 UPSTR: 10.0.0.9:80 Cache: - POST-DATA: -")).alias("value"))
+
+
+@query("SELECT 'board-' || (user_id % 5) AS dashboard, count(*) AS requests FROM events WHERE user_id % 5 > 0 GROUP BY 1")
+def log_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offline.dashboard_counts(offline.parse_requests(_proxied(spark, sf_dir), "nginx"))
+
+
+@query("SELECT CAST(200 AS INTEGER) AS status, CAST(sum(event_id % 8 * 1000 + 125) AS DOUBLE) AS total_ms, CAST(sum(event_id) AS BIGINT) AS total_length FROM events")
+def log_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return offline.parse_requests(_proxied(spark, sf_dir), "nginx").groupBy("status").agg(F.sum("ms").alias("total_ms"), F.sum("length").alias("total_length"))
+
+
+@query("""WITH s AS (SELECT 'q.' || event_type AS name, user_id % 97 AS v, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events),
+    k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY name) AS n FROM s),
+    g AS (SELECT name, count(*) AS c, max(v) AS hi, min(v) AS lo, max(CASE WHEN i = floor(n * 95 / 100.0) THEN v END) AS p95, max(ts) AS ts FROM k GROUP BY 1)
+    SELECT name || '.count' AS name, CAST(c AS VARCHAR) AS value, ts FROM g UNION ALL SELECT name || '.max', hi || '.00', ts FROM g UNION ALL SELECT name || '.min', lo || '.00', ts FROM g UNION ALL SELECT name || '.p95', p95 || '.00', ts FROM g""")
+def own_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact ones of the statistics; rounded means and deviations are tested by a fixture."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    samples = e.select(F.concat(F.lit("q."), "event_type").alias("name"), (F.col("user_id") % 97).cast("double").alias("val"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+    return formats.sample_statistics(samples).filter(F.substring_index("name", ".", -1).isin("count", "max", "min", "p95"))
+
+
+@query(f"WITH {POINTS} SELECT name, val, ts, CAST({NOW} AS BIGINT) * 1000 AS arrival_ms FROM p")
+def record_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in batches for a stream of gzip records, opened again."""
+    batches = relay.envelope_batches(points(spark, sf_dir), 500, NOW * 1000)
+    opened = binary.decode_envelopes(batches.select(binary.zipped("lines").alias("content")))
+    return lines.parse_lines(opened).filter("ok").select("name", "val", "ts", "arrival_ms")
+
+
+@query(f"WITH {POINTS} SELECT name, val, ts FROM p WHERE seq % 3 = 0")
+def inner_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two points of three come under the name of an inner node and are dropped."""
+    p = points(spark, sf_dir)
+    name = F.when(F.col("seq") % 3 == 1, F.substring_index("name", ".", 2)).when(F.col("seq") % 3 == 2, F.lit("app")).otherwise(F.col("name"))
+    return filters.drop_inner(p.withColumn("name", name), nodes(spark, sf_dir)).select("name", "val", "ts")
+
+
+@query(f"""WITH {POINTS}, g AS (SELECT ts - ts % 3600 AS ts, arg_max(val, seq) AS val FROM p WHERE name = 'app.click.u7' GROUP BY 1), t AS (SELECT unnest(range({NOW - 20 * 86400}, {NOW} - {NOW} % 3600 + 3600, 3600)) AS ts)
+    SELECT 'app.click.u7' AS name, t.ts, g.val FROM t LEFT JOIN g ON t.ts = g.ts WHERE t.ts >= {NOW - 20 * 86400} - {NOW - 20 * 86400} % 3600 + 3600""")
+def file_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metric's hourly archive file as a dense series, its grid half open."""
+    hourly = rollup.rollup(points(spark, sf_dir).filter("name = 'app.click.u7'"), 3600, [("last", "*")])
+    return render.half_open(hourly, "app.click.u7", NOW - 20 * 86400, NOW, 3600, NOW, 30 * 86400)

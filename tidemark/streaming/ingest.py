@@ -42,6 +42,15 @@ def envelope_files(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("name", "val", "ts", F.floor(F.col("arrival_ms") / 1000).alias("arrival"))
 
 
+def record_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """name, val, ts, arrival of the gzip records that ``relay.Sinks`` adds to a folder (``records:path``)."""
+    reader = spark.readStream.schema("partition_key string, content binary")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    parsed = parse_lines(decode_envelopes(reader.parquet(path))).filter("ok")
+    return parsed.select("name", "val", "ts", F.floor(F.col("arrival_ms") / 1000).alias("arrival"))
+
+
 def _repeats(precision: int, ttl_ms: int | None) -> Callable:
     """Keeps a name's points whose interval isn't that of the point before; the state is the last interval."""
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions.shared import read_text, write_text
 
 SLOT_MS = 60_000
 
@@ -20,21 +21,16 @@ class Gap:
 
 
 class GapTable:
-    """Gaps in a file, ordered by start; replaced as a whole, so a reader sees the old table or the new one."""
+    """Gaps in a file of any shared file system, ordered by start; replaced as a whole, so a reader sees the old table or the new one."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
 
     def gaps(self) -> list[Gap]:
-        if not os.path.exists(self.path):
-            return []
-        with open(self.path, encoding="utf-8") as f:
-            return sorted(Gap(**g) for g in json.load(f))
+        return sorted(Gap(**g) for g in json.loads(read_text(self.spark, self.path) or "[]"))
 
     def save(self, gaps: list[Gap]) -> None:
-        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
-            json.dump([asdict(g) for g in sorted(gaps)], f)
-        os.replace(f"{self.path}.new", self.path)
+        write_text(self.spark, self.path, json.dumps([asdict(g) for g in sorted(gaps)]))
 
     def add(self, gap: Gap) -> None:
         self.save([*self.gaps(), gap])
@@ -47,22 +43,17 @@ class GapTable:
 
 
 class Checkpoint:
-    """The minute up to which a stream has been processed; by default five minutes ago."""
+    """The minute up to which a stream has been processed, in a file of any shared file system; by default five minutes ago."""
 
-    def __init__(self, path: str, default_age_s: int = 300) -> None:
-        self.path, self.default_age_s = path, default_age_s
+    def __init__(self, spark: SparkSession, path: str, default_age_s: int = 300) -> None:
+        self.spark, self.path, self.default_age_s = spark, path, default_age_s
 
     def write(self, ts_ms: int) -> None:
-        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
-            f.write(str(ts_ms - ts_ms % SLOT_MS))
-        os.replace(f"{self.path}.new", self.path)
+        write_text(self.spark, self.path, str(ts_ms - ts_ms % SLOT_MS))
 
     def read(self, now_ms: int) -> int:
-        try:
-            with open(self.path, encoding="utf-8") as f:
-                return int(f.read())
-        except (OSError, ValueError):
-            return now_ms - 1000 * self.default_age_s
+        held = (read_text(self.spark, self.path) or "").strip()
+        return int(held) if held.isdigit() else now_ms - 1000 * self.default_age_s
 
 
 def register_gap(table: GapTable, checkpoint_ms: int, now_ms: int) -> Gap:
