@@ -91,6 +91,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END AS grams FROM d),
+        m AS (SELECT doc_id, grams, CASE WHEN grams IS NOT NULL THEN min(doc_id) OVER (PARTITION BY grams) END AS node FROM s),
+        n AS (SELECT node, any_value(grams) AS grams, count(*) AS weight FROM m WHERE node IS NOT NULL GROUP BY node),
+        g AS (SELECT node, len(grams) AS size, md5_number(unnest(grams)) AS gram FROM n),
+        p AS (SELECT a.node AS x, b.node AS y FROM g a JOIN g b ON a.gram = b.gram AND a.node <> b.node AND 5 * b.size >= 4 * a.size AND 5 * a.size >= 4 * b.size
+              GROUP BY a.node, b.node, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+        r(x, y) AS (SELECT node, node FROM n UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+        c AS (SELECT x AS node, min(y) AS class_id FROM r GROUP BY x),
+        l AS (SELECT p.x AS node, sum(n.weight) AS links FROM p JOIN n ON p.y = n.node GROUP BY p.x)
+        SELECT m.doc_id, coalesce(c.class_id, m.doc_id) AS class_id, CAST(CASE WHEN m.node IS NULL THEN 0 ELSE coalesce(l.links, 0) + n.weight - 1 END AS BIGINT) AS n_links, m.doc_id = coalesce(c.class_id, m.doc_id) AS kept
+        FROM m LEFT JOIN n ON m.node = n.node LEFT JOIN c ON m.node = c.node LEFT JOIN l ON m.node = l.node""",
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
@@ -136,6 +150,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS BIGINT) AS block,
                CAST('0x' || substr(md5('17:' || epoch || ':' || coalesce(source, '') || ':' || block), 1, 15) AS BIGINT) AS block_order
         FROM z""",
+    "op9_substring_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents),
+        u AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+        h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY md5_number(win)) AS n FROM u) WHERE n > 1),
+        k AS (SELECT r, k, x FROM (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d)),
+        c AS (SELECT k.r, k.k, k.x, max(h.i) OVER (PARTITION BY k.r ORDER BY k.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last FROM k LEFT JOIN h ON h.r = k.r AND h.i = k.k),
+        g AS (SELECT r, count(*) AS n, count(*) FILTER (last IS NOT NULL AND k < last + 35) AS gone, coalesce(string_agg(x, ' ' ORDER BY k) FILTER (last IS NULL OR k >= last + 35), '') AS kept FROM c GROUP BY r)
+        SELECT d.doc_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_words, CAST(coalesce(g.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.r = g.r""",
     "op10_embedding_near_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
