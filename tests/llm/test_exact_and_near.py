@@ -323,3 +323,18 @@ def test_very_large_and_small_vectors_link(frame):
     rows = [(1, [1.0, 2.0], 0), (2, [1e200, 2e200], 0), (3, [1e-200, 2e-200], 0), (4, [1.7e308, -1.7e308], 0), (5, [5e-324, -5e-324], 0), (6, [0.0, 0.0], 0)]
     out = vector_links.link_vectors(frame(rows, "vec_id long, embedding array<double>, label int")).rows.collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+@pytest.mark.parametrize("key_bits", [64, 3])
+def test_an_index_is_opened_and_looked_up_again(spark, key_bits):
+    from tidemark.llm.exact_dedup import exact_groups, find_copies
+
+    texts = [f"Text {k % 40}" for k in range(200)] + [None, "", "TEXT 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    work = Work(spark, "index-test")
+    groups = {r.text_sha256: (r.keep_id, r.group_size) for r in exact_groups(docs, capacity=4, key_bits=key_bits, work=work).collect()}
+    asked = ["text 7", "TEXT 7", "unknown", None, "text 1"] + ["teXt 3"] * 300
+    got = sorted(tuple(r) for r in find_copies(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), work.path).collect())
+    want = [groups.get(hashlib.sha256((x or "").lower().encode()).hexdigest(), (None, None)) for x in asked]
+    assert got == [(k, *w) for k, w in enumerate(want)] and want[2] == (None, None) and want[4] == (202, 6)
+    assert find_copies(docs.limit(0), work.path).collect() == []

@@ -6,7 +6,10 @@ than ``capacity`` distinct texts is split, doubling the directory whenever the b
 directory is built from a histogram of at most ``2 ** max_bits`` counters, so the driver's share is bounded by a parameter.
 Owner tasks each take a contiguous range of buckets, that is of keys. Rows reach them merged per map task (one row
 for each distinct text a task saw), so a text that fills a third of the corpus costs its owner one row for each map task. The
-owner sorts by key, chains texts whose keys collide, compares bytes, and writes its buckets to one shared file.
+owner sorts by key, chains texts whose keys collide, compares bytes, and writes its buckets to one shared file. The directory is written
+beside the buckets, so that ``find_copies`` can look further texts up in the index of an earlier run.
+
+Beyond ``capacity * 2 ** max_bits`` distinct texts buckets hold more than ``capacity``; results stay the same, as owners sort by key.
 
 Defined results: a null text counts as empty; empty texts are equal to one another. Of equal texts the row with the
 largest doc_id stays; a null doc_id is smaller than any other; of repeated rows with that doc_id one stays. Very long texts are
@@ -23,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .work import Work, fresh, lean, shuffle_partitions
+from .work import Work, fresh, join_sized, lean, shuffle_partitions
 
 #: Distinct texts in a bucket before it splits.
 CAPACITY = 4096
@@ -145,7 +148,7 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_bits: int = MAX_
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256. Reads columns doc_id and text.
 
     The index stays in ``<work>/index`` (bucket, key, chain, sha, norm, keep_id, group_size), one file per owner task, sorted by
-    key. ``key_bits`` narrows the keys, so that tests can make them collide.
+    key, its directory in ``<work>/directory`` (prefix, bucket, depth, key_bits). ``key_bits`` narrows the keys, so that tests can make them collide.
     """
     spark = docs.sparkSession
     work = work or Work(spark, "exact-dedup")
@@ -157,6 +160,8 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_bits: int = MAX_
     head = F.conv(F.hex(F.substring("sha", 1, 4)), 16, 10).cast("long")
     histogram = members.select("sha").distinct().groupBy(F.shiftrightunsigned(head, 32 - bits).alias("prefix")).count()
     directory = build_directory({r[0]: r[1] for r in histogram.toLocalIterator()}, bits, capacity, min(bits, (owners - 1).bit_length()))
+    entry = [pa.array(np.arange(len(directory), dtype=np.int32)), pa.array(directory), *(pa.array(np.full(len(directory), x, np.int32)) for x in (len(directory).bit_length() - 1, key_bits))]
+    work.save(spark.createDataFrame(pa.Table.from_arrays(entry, ["prefix", "bucket", "depth", "key_bits"])).coalesce(1), "directory")
     entries = docs.mapInArrow(lean(_entries(directory, owners, key_bits)), ENTRY_SCHEMA)
     owned = entries.repartitionById(owners, F.col("owner")).sortWithinPartitions("key")
     index = work.save(owned.mapInArrow(lean(_own), RECORD_SCHEMA), "index").select("sha", "keep_id", "group_size").filter("group_size > 1")
@@ -178,6 +183,34 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_bits: int = MAX_
     )
 
 
+def _probes(depth: int, key_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shas = [hashlib.sha256(x).digest() for x in _normalised(b.column(1))]
+            keys = [int.from_bytes(s[:8], "big") >> (64 - key_bits) << (64 - key_bits) for s in shas]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shas, pa.binary()), pa.array([k >> (64 - depth) if depth else 0 for k in keys], pa.int32()), pa.array([k - (1 << 63) for k in keys], pa.int64())], ["doc_id", "sha", "prefix", "key"])
+
+    return run
+
+
+def find_copies(docs: DataFrame, path: str, work: Work | None = None) -> DataFrame:
+    """One row per document: doc_id, and keep_id and group_size of its text in the index that a run left in folder ``path``, null if it isn't there.
+
+    Each distinct text is looked up once: the directory (of at most ``2 ** max_bits`` rows, so it may be broadcast) gives its bucket, the bucket's
+    chain its entry, told apart by SHA-256.
+    """
+    spark = docs.sparkSession
+    work = work or Work(spark, "exact-find")
+    directory = spark.read.parquet(f"{path}/directory")
+    depth, key_bits = directory.select("depth", "key_bits").first()
+    probes = work.save(docs.select("doc_id", "text").mapInArrow(lean(_probes(depth, key_bits)), "doc_id long, sha binary, prefix int, key long"), "probes")
+    distinct = probes.groupBy("prefix", "key", "sha").agg(F.count(F.lit(1)).alias("n"))
+    held = spark.read.parquet(f"{path}/index").select("bucket", "key", "sha", "keep_id", "group_size")
+    found = distinct.join(F.broadcast(directory.select("prefix", "bucket")), "prefix").join(held, ["bucket", "key", "sha"], "left")
+    rows = join_sized(probes.select("doc_id", "sha"), found.select("sha", "n", "keep_id", "group_size"), "sha", "n", probes.count())
+    return rows.select("doc_id", "keep_id", "group_size")
+
+
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Of repeated rows that tie in doc_id and text, one stays.
 
