@@ -162,6 +162,42 @@ def test_toxicity_on_held_out_rows(spark):
     assert (predicted == label).mean() > 0.94 and predicted[label == 0].mean() < 0.02 and scored.count() == 1000
 
 
+def voted(rng, label, n):
+    """Votes of seven voters: 1 to 3 mostly repeat voter 0, 4 votes on other toxic rows than they do, 5 at random, 6 says clean of silent rows."""
+    votes = np.zeros((n, 7))
+    kind = rng.random(n)
+    first = np.where(label == 1, kind < 0.5, rng.random(n) < 0.02)
+    votes[:, :4] = first[:, None] & (rng.random((n, 4)) < 0.97)
+    votes[:, 4] = np.where(label == 1, kind >= 0.5, rng.random(n) < 0.01)
+    votes[:, 5] = rng.random(n) < 0.2
+    votes[~votes.any(1), 6] = -1
+    return votes
+
+
+def fitted_labels(votes, label):
+    model = toxicity.LabelModel(votes.shape[1], 0.2)
+    model.unlabelled = 0.1
+    for step in range(6):
+        model.update(model.sums(votes, label, np.ones(len(votes))), pair=step in (0, 3))
+    return model
+
+
+def test_label_model_counts_repeating_voters_once_and_finds_wrong_labels():
+    rng = np.random.default_rng(4)
+    true = (rng.random(6000) < 0.2).astype(int)
+    votes = voted(rng, true, 6000)
+    given = np.where(rng.random(6000) < np.where(true == 1, 0.05, 0.01), 1 - true, true).astype(float)
+    label = np.where(np.arange(6000) < 4000, given, np.nan)
+    model = fitted_labels(votes, label)
+    assert len(model.pairs) == 4 and set(model.pairs.ravel().tolist()) == {0, 1, 2, 3, 4}  # a tree of those that depend on each other
+    assert np.abs(model.right - np.array([0.99, 0.95])).max() < 0.02, model.right
+    # Brute force: the share of toxic rows among all rows with the same votes.
+    patterns, of, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    share = np.bincount(of.ravel(), true) / count
+    many = count >= 100
+    assert np.abs(model.posterior(patterns, np.full(len(patterns), np.nan)) - share)[many].max() < 0.1
+
+
 @pytest.mark.parametrize("operator", [quality.quality_scores, toxicity.toxicity_scores])
 def test_scores_of_odd_rows(frame, operator):
     rows = [(1, None), (2, ""), (None, "x"), (3, "a b"), (3, "a b"), (4, "word " * 200_000), (5, "\n\n"), (6, "!!! ??? ###")]

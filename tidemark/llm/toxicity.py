@@ -7,13 +7,16 @@ votes on its own stems. One votes on texts with two stems or more, and one says
 finds anything. Every voter says toxic, or clean, or nothing.
 
 The label model is a two-class latent variable model, fitted by expectation-maximisation to the votes of all documents (equal vote
-patterns are counted first). Voters are not independent given the class: after a first fit, the correlations of their votes
-within each class are measured, and a second fit weighs a voter's evidence by 1 / (1 + sum of its squared positive correlations), so
-that voters that repeat one another count once together. The fit starts from the learning rows alone. Posterior labels, with the known label of a learning row as one more voter, are the targets
+patterns are counted first). Voters are not independent given the class: the pairs of voters that depend most on each other
+within the classes are chosen as a tree (the spanning forest of greatest conditional mutual information, as Chow and Liu's), and each
+pair gets parameters for each class, by how much oftener both, one or neither votes toxic than independent voters would. They are fitted in
+each step as the accuracies are, so silence of voters that vote together counts once. The known label of a learning row is
+one more voter, whose accuracy is estimated, too. The fit starts from the labels of the learning rows alone; all other documents together then count as
+``UNLABELLED`` times the learning rows do (without any, fully). Posterior labels are the targets
 of a logistic regression on the stems' and voters' hits, fitted by Newton steps on a bounded sample.
 
 Bounds: ``SAMPLE`` learning rows (by hash of doc_id) for mining, ``SAMPLE`` of them and as many other documents for the regression,
-``STEMS`` stems. Votes, counts and correlations cover every document. Held-out labels are never used.
+``STEMS`` stems. Votes, counts and correlations cover every document, whatever its weight. Held-out labels are never used.
 
 Defined results: null and empty texts get the score of a text without hits; a null doc_id is scored, not learnt from; labels that are
 null are not used, several of a document count as toxic if any is; repeated rows get a row each; without learning rows the fixed
@@ -36,8 +39,13 @@ from .work import Work, lean, slices, tree_sum
 
 HELD_OUT, FOLDS, CUT = 1, 3, 0.7
 SAMPLE, STEMS, MINED_VOTERS, LEAST_SUPPORT, LEAST_ODDS = 20_000, 600, 16, 4, 3.0
-#: How often a learning row's label is taken to be right: the annotator is one more voter.
-LABEL_RIGHT = 0.99
+#: How often a learning row's label is right, as assumed at first, the number of rows for which that assumption counts
+#: afterwards, and the least that is estimated: below it, the classes would be those of the votes, not of the labels.
+LABEL_RIGHT, LABEL_ROWS, LABEL_LEAST = 0.99, 100, 0.9
+#: Likelihood ratio statistic from which two voters may be a pair (a chance of 0.001), and the number of rows, as if independent, that each outcome of a pair starts from.
+PAIR_LEAST, PAIR_ROWS = 10.83, 5.0
+#: Weight in the label model of all documents without a known label, as a share of that of the learning rows.
+UNLABELLED = 0.3
 #: Words below which a text without hits isn't taken for clean.
 LONG = 5
 
@@ -152,48 +160,73 @@ def _featurise(stems: list[str], voters: int):
     return run
 
 
+def voter_tree(both: list[np.ndarray], single: list[np.ndarray], total: list[float]) -> np.ndarray:
+    """Pairs of voters, a forest: those of the greatest mutual information given the class, from counts by class of toxic votes of both and of one."""
+    n = len(single[0])
+    gain = np.zeros((n, n))
+    for joint, own, rows in zip(both, single, total, strict=True):
+        for a, b, c in ((joint, own[:, None], own), (own[:, None] - joint, own[:, None], rows - own), (own - joint, rows - own[:, None], own), (rows - own[:, None] - own + joint, rows - own[:, None], rows - own)):
+            gain += np.where(a > 1e-9, 2 * a * np.log(np.maximum(a, 1e-9) * rows / np.maximum(b * c, 1e-9)), 0)
+    np.fill_diagonal(gain, 0)
+    tree, pairs = np.arange(n), []
+    for k in np.argsort(-gain, axis=None, kind="stable").tolist():
+        i, j = divmod(k, n)
+        if gain[i, j] < PAIR_LEAST:
+            break
+        if tree[i] != tree[j]:
+            pairs.append((i, j))
+            tree[tree == tree[j]] = tree[i]
+    return np.array(pairs, int).reshape(-1, 2)
+
+
 class LabelModel:
-    """P(vote | class) of each voter, and the weights that correlated voters share; the class prior is that of the learning rows."""
+    """P(vote | class) of each voter, dependence of paired voters, accuracy of known labels; the class prior is that of the learning rows."""
 
     def __init__(self, voters: int, prior: float) -> None:
-        self.prior = prior
-        clean, toxic = [0.05, 0.9, 0.05], [0.05, 0.45, 0.5]  # votes -1, 0, 1
+        self.prior, self.fitted, self.unlabelled = prior, False, 1.0
+        clean, toxic = [0.09, 0.9, 0.01], [0.01, 0.9, 0.09]  # votes -1, 0, 1
         self.table = np.array([[clean, toxic]] * voters)  # voter, class, vote
-        self.weight = np.ones(voters)
+        #: Of a pair, by class and by toxic votes of the one and the other: log of their number over that of independent voters.
+        self.pairs, self.together = np.zeros((0, 2), int), np.zeros((0, 2, 2, 2))
+        self.right = np.array([LABEL_RIGHT, LABEL_RIGHT])  # by class
 
     def posterior(self, votes: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """P(toxic | votes, label), votes as rows of -1, 0, 1, labels 0, 1 or NaN. A voter that says nothing is no evidence."""
-        ratio = self.weight[:, None] * np.log(self.table[:, 1] / self.table[:, 0])
-        evidence = np.log(self.prior / (1 - self.prior)) + (votes == 1) @ ratio[:, 2] + (votes == -1) @ ratio[:, 0]
-        evidence += np.where(np.isnan(label), 0, np.where(label == 1, 1, -1) * np.log(LABEL_RIGHT / (1 - LABEL_RIGHT)))
+        """P(toxic | votes, label), votes as rows of -1, 0, 1, labels 0, 1 or NaN."""
+        evidence = np.log(self.prior / (1 - self.prior)) + np.where(label == 1, np.log(self.right[1] / (1 - self.right[0])), 0)
+        evidence += np.where(label == 0, np.log((1 - self.right[1]) / self.right[0]), 0)
+        for k, ratio in enumerate(np.log(self.table[:, 1] / self.table[:, 0]).T):
+            evidence += (votes == k - 1) @ ratio
+        toxic, dependence = (votes == 1).astype(int), self.together[:, 1] - self.together[:, 0]
+        evidence += dependence[np.arange(len(self.pairs)), toxic[:, self.pairs[:, 0]], toxic[:, self.pairs[:, 1]]].sum(1)
         return 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
 
     def sums(self, votes: np.ndarray, label: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected counts: by class (all; by voter and vote; products of votes), flattened."""
-        p, n = self.posterior(votes, label), votes.shape[1]
+        """Expected counts: by class (all; with a label; with the right one; by voter and vote; toxic votes of two voters), flattened."""
+        p = self.posterior(votes, label) if self.fitted else np.where(label == 1, self.right[1], 1 - self.right[0])
+        toxic, count = (votes == 1).astype(np.float64), np.where(np.isnan(label), self.unlabelled * count, count)
         out = []
-        for q in (count * (1 - p), count * p):
-            out.append(np.array([q.sum()]))
+        for c, q in enumerate((count * (1 - p), count * p)):
+            out.append(np.array([q.sum(), q[~np.isnan(label)].sum(), q[label == c].sum()]))
             out.append(np.stack([(q[:, None] * (votes == v)).sum(0) for v in (-1, 0, 1)], 1).ravel())
-            out.append(((votes * q[:, None]).T @ votes).ravel())
-        assert sum(map(len, out)) == 2 * (1 + 3 * n + n * n)
+            out.append(((toxic * q[:, None]).T @ toxic).ravel())
         return np.concatenate(out)
 
-    def update(self, sums: np.ndarray, correlate: bool = False) -> None:
-        n, half = len(self.weight), len(sums) // 2
-        squares = np.zeros((n, n))
-        for c, own in enumerate((sums[:half], sums[half:])):
-            counts = own[1 : 1 + 3 * n].reshape(n, 3)
-            # A toxic vote is never likelier in a clean document, nor a clean vote in a toxic one.
-            self.table[:, c] = (counts + 1.0) / (counts + 1.0).sum(1, keepdims=True)
-            if correlate and own[0] > 1:
-                mean = (counts[:, 2] - counts[:, 0]) / own[0]
-                covariance = own[1 + 3 * n :].reshape(n, n) / own[0] - np.outer(mean, mean)
-                scale = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-                squares = np.maximum(squares, np.clip(covariance / np.outer(scale, scale), 0, 1) ** 2)
-        if correlate:
-            np.fill_diagonal(squares, 0)
-            self.weight = 1 / (1 + squares.sum(1))
+    def update(self, sums: np.ndarray, pair: bool = False) -> None:
+        n, classes = len(self.table), np.split(sums, 2)
+        total, counts = [own[0] for own in classes], [own[3 : 3 + 3 * n].reshape(n, 3) for own in classes]
+        both, single = [own[3 + 3 * n :].reshape(n, n) for own in classes], [c[:, 2] for c in counts]
+        if pair:
+            self.pairs = voter_tree(both, single, total)
+        i, j = self.pairs.T
+        self.together, self.fitted = np.zeros((len(self.pairs), 2, 2, 2)), True
+        for c in (0, 1):
+            self.table[:, c] = (counts[c] + 1.0) / (counts[c] + 1.0).sum(1, keepdims=True)
+            self.right[c] = max(LABEL_LEAST, (classes[c][2] + LABEL_RIGHT * LABEL_ROWS) / (classes[c][1] + LABEL_ROWS))
+            one, other, joint = single[c][i], single[c][j], both[c][i, j]
+            found = np.stack([np.stack([total[c] - one - other + joint, other - joint], 1), np.stack([one - joint, joint], 1)], 1)
+            expected = found.sum(2, keepdims=True) * found.sum(1, keepdims=True) / max(total[c], 1e-9)
+            self.together[:, c] = np.log((np.maximum(found, 0) + PAIR_ROWS) / (np.maximum(expected, 0) + PAIR_ROWS))
+        # A toxic vote is never likelier in a clean document, nor a clean vote in a toxic one.
         toxic, clean = self.table[:, 1], self.table[:, 0]
         toxic[:, 2] = np.maximum(toxic[:, 2], clean[:, 2])
         clean[:, 0] = np.maximum(clean[:, 0], toxic[:, 0])
@@ -218,18 +251,22 @@ def _expect(model: LabelModel):
 
 
 def fit_label_model(patterns: DataFrame, voters: int, prior: float, work: Work, steps: int = 6) -> LabelModel:
-    """Expectation-maximisation over counted vote patterns (votes, label, n): a fit, the correlations, and a fit with the weights."""
+    """Expectation-maximisation over counted vote patterns (votes, label, n): from labels alone, then a fit, the choice of pairs again, and a fit with these."""
     model = LabelModel(voters, prior)
     labelled = patterns.filter("label is not null")
-    for step in range(-1, 2 * steps):
+    known, rows = patterns.agg(F.coalesce(F.sum(F.when(F.col("label").isNotNull(), F.col("n"))), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if known:
+        model.unlabelled = min(1.0, UNLABELLED * known / max(1, rows - known))
+    model.fitted = not known
+    for step in range(-1 if known else 0, 2 * steps):
         sums = tree_sum((labelled if step < 0 else patterns).mapInArrow(lean(_expect(model)), "sums binary"), work, f"em{step + 1}-")
         if sums is None:
             continue
-        model.update(sums, correlate=step == steps - 1)
+        model.update(sums, pair=step in (-1, steps - 1))
     return model
 
 
-def fit_logistic(rows: list[np.ndarray], size: int, target: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+def fit_logistic(rows: list[np.ndarray], size: int, target: np.ndarray, ridge: float = 0.1, steps: int = 12) -> np.ndarray:
     """Weights and intercept of a logistic regression on 0/1 features, given as numbers of the features that are 1."""
     x = np.zeros((len(rows), size + 1), np.float32)
     x[:, size] = 1
