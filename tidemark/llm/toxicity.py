@@ -8,12 +8,13 @@ finds anything. Every voter says toxic, or clean, or nothing.
 
 The label model is a two-class latent variable model, fitted by expectation-maximisation to the votes of all documents (equal vote
 patterns are counted first). Voters are not independent given the class: the pairs of voters that depend most on each other
-within the classes are chosen as a tree (the spanning forest of greatest conditional mutual information, as Chow and Liu's), and each
-pair gets parameters for each class, by how much oftener both, one or neither votes toxic than independent voters would. They are fitted in
-each step as the accuracies are, so silence of voters that vote together counts once. The known label of a learning row is
-one more voter, whose accuracy is estimated, too. The fit starts from the labels of the learning rows alone; all other documents together then count as
-``UNLABELLED`` times the learning rows do (without any, fully). Posterior labels are the targets
-of a logistic regression on the stems' and voters' hits, fitted by Newton steps on a bounded sample.
+within a class are chosen as its tree (the spanning forest of greatest mutual information, as Chow and Liu's), and each
+pair gets parameters, by how much oftener both, one or neither votes toxic than independent voters would. They are fitted in
+each step as the accuracies are, so votes and silence of voters that vote together count once. The voter for clean is in no pair: that it is
+silent where another one speaks counts as evidence of its own. The known label of a learning row is one more voter, of given accuracy.
+The fit starts from these labels alone; all other documents together then count as ``UNLABELLED`` times the learning rows do (without
+any, fully). Posterior labels are the targets of a logistic regression on the stems' and voters' hits, fitted by Newton steps on a
+bounded sample.
 
 Bounds: ``SAMPLE`` learning rows (by hash of doc_id) for mining, ``SAMPLE`` of them and as many other documents for the regression,
 ``STEMS`` stems. Votes, counts and correlations cover every document, whatever its weight. Held-out labels are never used.
@@ -39,11 +40,10 @@ from .work import Work, lean, slices, tree_sum
 
 HELD_OUT, FOLDS, CUT = 1, 3, 0.7
 SAMPLE, STEMS, MINED_VOTERS, LEAST_SUPPORT, LEAST_ODDS = 20_000, 600, 16, 4, 3.0
-#: How often a learning row's label is right, as assumed at first, the number of rows for which that assumption counts
-#: afterwards, and the least that is estimated: below it, the classes would be those of the votes, not of the labels.
-LABEL_RIGHT, LABEL_ROWS, LABEL_LEAST = 0.99, 100, 0.9
+#: How often a learning row's label is taken to be right. Not estimated: the classes would drift from those of the labels to those of the votes.
+LABEL_RIGHT = 0.99
 #: Likelihood ratio statistic from which two voters may be a pair (a chance of 0.001), and the number of rows, as if independent, that each outcome of a pair starts from.
-PAIR_LEAST, PAIR_ROWS = 10.83, 5.0
+PAIR_LEAST, PAIR_ROWS = 10.83, 0.5
 #: Weight in the label model of all documents without a known label, as a share of that of the learning rows.
 UNLABELLED = 0.3
 #: Words below which a text without hits isn't taken for clean.
@@ -160,13 +160,12 @@ def _featurise(stems: list[str], voters: int):
     return run
 
 
-def voter_tree(both: list[np.ndarray], single: list[np.ndarray], total: list[float]) -> np.ndarray:
-    """Pairs of voters, a forest: those of the greatest mutual information given the class, from counts by class of toxic votes of both and of one."""
-    n = len(single[0])
-    gain = np.zeros((n, n))
-    for joint, own, rows in zip(both, single, total, strict=True):
-        for a, b, c in ((joint, own[:, None], own), (own[:, None] - joint, own[:, None], rows - own), (own - joint, rows - own[:, None], own), (rows - own[:, None] - own + joint, rows - own[:, None], rows - own)):
-            gain += np.where(a > 1e-9, 2 * a * np.log(np.maximum(a, 1e-9) * rows / np.maximum(b * c, 1e-9)), 0)
+def voter_tree(both: np.ndarray, single: np.ndarray, total: float) -> np.ndarray:
+    """Pairs of voters, a forest: those of the greatest mutual information, from the numbers of a class's rows on which both vote toxic and on which each does."""
+    n, gain = len(single), np.zeros((len(single), len(single)))
+    own, other = single[:, None], single[None, :]
+    for a, b, c in ((both, own, other), (own - both, own, total - other), (other - both, total - own, other), (total - own - other + both, total - own, total - other)):
+        gain += np.where(a > 1e-9, 2 * a * np.log(np.maximum(a, 1e-9) * total / np.maximum(b * c, 1e-9)), 0)
     np.fill_diagonal(gain, 0)
     tree, pairs = np.arange(n), []
     for k in np.argsort(-gain, axis=None, kind="stable").tolist():
@@ -180,52 +179,50 @@ def voter_tree(both: list[np.ndarray], single: list[np.ndarray], total: list[flo
 
 
 class LabelModel:
-    """P(vote | class) of each voter, dependence of paired voters, accuracy of known labels; the class prior is that of the learning rows."""
+    """P(vote | class) of each voter, dependence of paired voters; the class prior is that of the learning rows."""
 
     def __init__(self, voters: int, prior: float) -> None:
         self.prior, self.fitted, self.unlabelled = prior, False, 1.0
         clean, toxic = [0.09, 0.9, 0.01], [0.01, 0.9, 0.09]  # votes -1, 0, 1
         self.table = np.array([[clean, toxic]] * voters)  # voter, class, vote
-        #: Of a pair, by class and by toxic votes of the one and the other: log of their number over that of independent voters.
-        self.pairs, self.together = np.zeros((0, 2), int), np.zeros((0, 2, 2, 2))
-        self.right = np.array([LABEL_RIGHT, LABEL_RIGHT])  # by class
+        #: By class: pairs, and for each, by toxic votes of the one and the other, the log of their number over that of independent voters.
+        self.pairs, self.together = [np.zeros((0, 2), int)] * 2, [np.zeros((0, 2, 2))] * 2
 
     def posterior(self, votes: np.ndarray, label: np.ndarray) -> np.ndarray:
         """P(toxic | votes, label), votes as rows of -1, 0, 1, labels 0, 1 or NaN."""
-        evidence = np.log(self.prior / (1 - self.prior)) + np.where(label == 1, np.log(self.right[1] / (1 - self.right[0])), 0)
-        evidence += np.where(label == 0, np.log((1 - self.right[1]) / self.right[0]), 0)
+        evidence = np.log(self.prior / (1 - self.prior)) + np.where(np.isnan(label), 0, np.where(label == 1, 1, -1) * np.log(LABEL_RIGHT / (1 - LABEL_RIGHT)))
         for k, ratio in enumerate(np.log(self.table[:, 1] / self.table[:, 0]).T):
             evidence += (votes == k - 1) @ ratio
-        toxic, dependence = (votes == 1).astype(int), self.together[:, 1] - self.together[:, 0]
-        evidence += dependence[np.arange(len(self.pairs)), toxic[:, self.pairs[:, 0]], toxic[:, self.pairs[:, 1]]].sum(1)
+        toxic = (votes == 1).astype(int)
+        for sign, pairs, together in zip((-1, 1), self.pairs, self.together, strict=True):
+            evidence += sign * together[np.arange(len(pairs)), toxic[:, pairs[:, 0]], toxic[:, pairs[:, 1]]].sum(1)
         return 1 / (1 + np.exp(-np.clip(evidence, -30, 30)))
 
     def sums(self, votes: np.ndarray, label: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Expected counts: by class (all; with a label; with the right one; by voter and vote; toxic votes of two voters), flattened."""
-        p = self.posterior(votes, label) if self.fitted else np.where(label == 1, self.right[1], 1 - self.right[0])
+        """Expected counts: by class (all; by voter and vote; toxic votes of two voters), flattened."""
+        p = self.posterior(votes, label) if self.fitted else np.where(label == 1, LABEL_RIGHT, 1 - LABEL_RIGHT)
         toxic, count = (votes == 1).astype(np.float64), np.where(np.isnan(label), self.unlabelled * count, count)
         out = []
-        for c, q in enumerate((count * (1 - p), count * p)):
-            out.append(np.array([q.sum(), q[~np.isnan(label)].sum(), q[label == c].sum()]))
-            out.append(np.stack([(q[:, None] * (votes == v)).sum(0) for v in (-1, 0, 1)], 1).ravel())
+        for q in (count * (1 - p), count * p):
+            out.append(np.array([q.sum()]))
+            out.append(np.stack([q @ (votes == v) for v in (-1, 0, 1)], 1).ravel())
             out.append(((toxic * q[:, None]).T @ toxic).ravel())
         return np.concatenate(out)
 
     def update(self, sums: np.ndarray, pair: bool = False) -> None:
         n, classes = len(self.table), np.split(sums, 2)
-        total, counts = [own[0] for own in classes], [own[3 : 3 + 3 * n].reshape(n, 3) for own in classes]
-        both, single = [own[3 + 3 * n :].reshape(n, n) for own in classes], [c[:, 2] for c in counts]
+        total, counts = [own[0] for own in classes], [own[1 : 1 + 3 * n].reshape(n, 3) for own in classes]
+        both, single = [own[1 + 3 * n :].reshape(n, n) for own in classes], [c[:, 2] for c in counts]
         if pair:
-            self.pairs = voter_tree(both, single, total)
-        i, j = self.pairs.T
-        self.together, self.fitted = np.zeros((len(self.pairs), 2, 2, 2)), True
+            self.pairs = [voter_tree(both[c], single[c], total[c]) for c in (0, 1)]
+        self.together, self.fitted = [], True
         for c in (0, 1):
             self.table[:, c] = (counts[c] + 1.0) / (counts[c] + 1.0).sum(1, keepdims=True)
-            self.right[c] = max(LABEL_LEAST, (classes[c][2] + LABEL_RIGHT * LABEL_ROWS) / (classes[c][1] + LABEL_ROWS))
+            i, j = self.pairs[c].T
             one, other, joint = single[c][i], single[c][j], both[c][i, j]
             found = np.stack([np.stack([total[c] - one - other + joint, other - joint], 1), np.stack([one - joint, joint], 1)], 1)
             expected = found.sum(2, keepdims=True) * found.sum(1, keepdims=True) / max(total[c], 1e-9)
-            self.together[:, c] = np.log((np.maximum(found, 0) + PAIR_ROWS) / (np.maximum(expected, 0) + PAIR_ROWS))
+            self.together.append(np.log((np.maximum(found, 0) + PAIR_ROWS) / (np.maximum(expected, 0) + PAIR_ROWS)))
         # A toxic vote is never likelier in a clean document, nor a clean vote in a toxic one.
         toxic, clean = self.table[:, 1], self.table[:, 0]
         toxic[:, 2] = np.maximum(toxic[:, 2], clean[:, 2])
