@@ -359,3 +359,16 @@ def test_request_log_shapes(frame):
     assert [tuple(r) for r in offline.dashboard_counts(timed).collect()] == [("sea", 1)]
     stats = offline.request_stats(offline.parse_requests(lines, "mellon"), of="bytes").filter("status = 200").first()
     assert (stats.total_bytes, stats.max_bytes, stats.p95) == (75, 70, 70)
+
+
+def test_trial_of_random_series(frame):
+    now = 1_700_000_000
+    until = now - 60
+    nodes = frame([("a", False), ("a.x", True), ("a.y", True), ("a.z", True)], "name string, is_leaf boolean")
+    points = frame([(n, 1.0, until - until % 60 - 60 * k) for n in ("a.x", "a.y", "a.z") for k in range(5)], "name string, val double, ts long")
+    policies = parse_policies("60s:24h")
+    (row,) = render.trial(nodes, {policies[0].db: points}, 2, now, policies, seed=3).collect()
+    assert row.series == len(row.names) == len(set(row.names)) == 2 and set(row.names) <= {"a.x", "a.y", "a.z"}
+    assert row.values == 10 and row.points == 2 * ((row.until - row.until % 60 - (row.start - row.start % 60)) // 60 + 1) and row.until - row.start == 86_280
+    (none,) = render.trial(nodes.limit(0), {policies[0].db: points}, 2, now, policies).collect()
+    assert (none.series, none.points, none.values, none.names) == (0, 0, 0, [])

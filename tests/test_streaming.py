@@ -79,6 +79,21 @@ def test_live_path_drops_repeats_and_ruled_out_points(spark, tmp_path):
     assert sorted((r.name, r.val) for r in archive.read().collect()) == [("a.x", 10.0), ("b.x", 3.0), ("b.y", 40.0)]
 
 
+def test_closed_slots_go_to_store_and_relay_as_they_are(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    t = NOW - NOW % 60
+    (tmp_path / "in" / "a.txt").write_text("".join(f"web.h{k % 3}.hits {k} {t + k}\n" for k in range(90)) + f"web.h1.hits 5 {t + 6000}\n")
+    points = ingest.line_files(spark, str(tmp_path / "in"))
+    aggregation = rules.parse_rules("all.<what> (60) = sum web.*.<what>")
+    archive, sent, sinks = ArchiveTable(spark, str(tmp_path / "archive"), Policy.parse("60s:24h")), [], relay.Sinks()
+    sinks.register("kinesis", lambda df, rest: sent.extend((r.name, r.val, r.ts) for r in df.collect()))
+    each = ingest.store_slots(archive, lambda: t + 6000, relay.parse_routes("all=kinesis:x"), sinks)
+    q = ingest.slots(points, aggregation).writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    expected = [("all.hits", float(sum(range(60))), t), ("all.hits", float(sum(range(60, 90))), t + 60)]
+    assert sorted((r.name, r.val, r.ts) for r in archive.read().collect()) == expected == sorted(sent)
+
+
 def test_records_from_a_sink_to_a_stream(spark, tmp_path):
     p = spark.createDataFrame([(f"r.n{k % 7}", k + 0.5, NOW + k, k) for k in range(40)], "name string, val double, ts long, seq long")
     sinks = relay.Sinks(most=3, clock=lambda: NOW + 9)

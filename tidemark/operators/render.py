@@ -109,6 +109,23 @@ def find(nodes: DataFrame, pattern: str, now: int, policies: Sequence[Policy] |
     return index.find(nodes, pattern).select(F.col("name").alias("path"), "is_leaf", when(now - longest).alias("start"), when(now).alias("end"))
 
 
+def trial(nodes: DataFrame, archives: Mapping[str, DataFrame], count: int, now: int, policies: Sequence[Policy] | None = None, seed: int | None = None) -> DataFrame:
+    """A day's series of ``count`` leaves picked at random, up to a minute ago: one row of start, until, series, points (gaps included), values and names."""
+    until = now - 60
+    query = Query("", until - 24 * 3600 + 120, until, until)
+    # Drawn once, as both sides of the join need the same ``count`` names.
+    picked = nodes.sparkSession.createDataFrame([(r.name,) for r in index.random_metrics(nodes, count, seed).collect()], "name string")
+    chosen = pick(query, list(policies or parse_policies()))
+    if chosen is None:
+        got = without_archive(picked, query)
+    else:
+        policy, start, end = chosen
+        got = arrays(picked, archives[policy.db].join(F.broadcast(picked), "name", "left_semi"), start, end, policy.precision)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    sums = got.agg(F.count(F.lit(1)).alias("series"), total(F.size("values"), "points"), total(F.size(F.array_compact("values")), "values"), F.sort_array(F.collect_list("name")).alias("names"))
+    return sums.select(F.lit(query.start).cast("long").alias("start"), F.lit(query.until).cast("long").alias("until"), "series", "points", "values", "names")
+
+
 def query_stats(timings: DataFrame) -> DataFrame:
     """Totals and extremes of (query, series, wait_ms, read_ms, write_ms) rows; slow above 5 s, wide above 5000 series."""
     rows = [f(c).alias(f"{n}_{c}") for c in ("wait_ms", "read_ms", "write_ms") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("sum", F.sum))]

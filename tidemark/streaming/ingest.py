@@ -96,7 +96,7 @@ def store_and_relay(archive: ArchiveTable, now: Callable[[], int], routes: Seque
     """A ``foreachBatch`` function: audit, filters, repeated points and lists, drop rules, then the store, then the relay. An upsert may be repeated safely.
 
     ``aggregation`` gives the rules that hold now (a reloaded file's, say): points that a drop rule takes aren't stored unless they are
-    late for their slot; the slots themselves come from ``slots``, whose output goes through a function of this kind, too. With ``precision``, a point whose
+    late for their slot; the slots themselves come from ``slots``, whose output goes to ``store_slots``. With ``precision``, a point whose
     interval is that of the one before it in the batch is dropped; ``drop_repeated`` does so across batches.
     """
 
@@ -114,9 +114,26 @@ def store_and_relay(archive: ArchiveTable, now: Callable[[], int], routes: Seque
                 if "arrival" in good.columns:
                     good = good.withColumn("late", rules.live_late(F.col("ts"), F.col("arrival")))
                 good = rules.forwarded(good, rules.match_rules(good.select("name").distinct(), held))
-            archive.write(good, now())
-            if routes:
-                (sinks or relay.Sinks()).write_all(relay.route(good, routes))
+            _deliver(good, archive, now(), routes, sinks)
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def _deliver(points: DataFrame, archive: ArchiveTable, now: int, routes: Sequence[relay.Route], sinks: relay.Sinks | None) -> None:
+    archive.write(points, now)
+    if routes:
+        (sinks or relay.Sinks()).write_all(relay.route(points, routes))
+
+
+def store_slots(archive: ArchiveTable, now: Callable[[], int], routes: Sequence[relay.Route] = (), sinks: relay.Sinks | None = None) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for closed slots: they go to the store and the relay as they are, neither filtered nor aggregated again."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch = batch.withColumn("seq", F.monotonically_increasing_id()).persist()
+        try:
+            _deliver(batch, archive, now(), routes, sinks)
         finally:
             batch.unpersist()
 
