@@ -372,3 +372,18 @@ def test_trial_of_random_series(frame):
     assert row.values == 10 and row.points == 2 * ((row.until - row.until % 60 - (row.start - row.start % 60)) // 60 + 1) and row.until - row.start == 86_280
     (none,) = render.trial(nodes.limit(0), {policies[0].db: points}, 2, now, policies).collect()
     assert (none.series, none.points, none.values, none.names) == (0, 0, 0, [])
+
+
+@pytest.mark.parametrize("name", ["metrics_json"])
+def test_queries_answer_more_matches_than_a_request_may(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    n = index.MAX_SERIES + 1
+    events = spark.range(n).selectExpr("id AS event_id", "timestamp'2024-01-30' AS ts", "100000 + id AS user_id", "'click' AS event_type", "1.0D AS value", "'{}' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert entry.queries()[name](spark, str(tmp_path)).distinct().count() == n
+    nodes = spark.range(n).selectExpr("concat('a.b', id) AS name", "true AS is_leaf")  # a request still has its limit
+    with pytest.raises(index.TooManyMetrics):
+        render.find(nodes, "a.*", NOW)
+    with pytest.raises(index.TooManyMetrics):
+        render.render(nodes, {}, render.Query("a.*", NOW - 900 * 86400, NOW, NOW))

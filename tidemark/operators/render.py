@@ -75,11 +75,11 @@ def is_heavy(query: Query, policies: Sequence[Policy], series: int, threshold: i
     return choose(list(policies), query.start, query.until, query.now) is None or estimate_points(query, policies, series) > threshold
 
 
-def render(nodes: DataFrame, archives: Mapping[str, DataFrame], query: Query, policies: Sequence[Policy] | None = None, max_series: int = index.MAX_SERIES,
+def render(nodes: DataFrame, archives: Mapping[str, DataFrame], query: Query, policies: Sequence[Policy] | None = None, max_series: int | None = index.MAX_SERIES,
            max_points: int = MAX_POINTS, blocked: Sequence[str] = (), active: DataFrame | None = None) -> DataFrame:
     """Series of all valid leaves that the pattern matches. ``active`` (namespace): series of other namespaces are all gaps.
 
-    Heavy queries run in the scheduler pool ``heavy``, others in ``main``.
+    More than ``max_series`` of them are an error; None, for batch jobs, sets no limit. Heavy queries run in the scheduler pool ``heavy``, others in ``main``.
     """
     if filters.query_blocked(query.pattern, blocked):
         raise Blocked(query.pattern)
@@ -100,13 +100,13 @@ def render(nodes: DataFrame, archives: Mapping[str, DataFrame], query: Query, po
     return arrays(series, points, start, until, policy.precision)
 
 
-def find(nodes: DataFrame, pattern: str, now: int, policies: Sequence[Policy] | None = None, blocked: Sequence[str] = ()) -> DataFrame:
-    """Search rows: path, is_leaf and the time for which a leaf has data (0 and 0 for inner nodes)."""
+def find(nodes: DataFrame, pattern: str, now: int, policies: Sequence[Policy] | None = None, blocked: Sequence[str] = (), max_series: int | None = index.MAX_SERIES) -> DataFrame:
+    """Search rows: path, is_leaf and the time for which a leaf has data (0 and 0 for inner nodes). ``max_series`` as in ``render``."""
     if filters.query_blocked(pattern, blocked):
         raise Blocked(pattern)
     longest = max(p.retention for p in policies or parse_policies())
     when = lambda v: F.when(F.col("is_leaf"), F.lit(v)).otherwise(0).cast("long")
-    return index.find(nodes, pattern).select(F.col("name").alias("path"), "is_leaf", when(now - longest).alias("start"), when(now).alias("end"))
+    return index.find(nodes, pattern, max_series=max_series).select(F.col("name").alias("path"), "is_leaf", when(now - longest).alias("start"), when(now).alias("end"))
 
 
 def trial(nodes: DataFrame, archives: Mapping[str, DataFrame], count: int, now: int, policies: Sequence[Policy] | None = None, seed: int | None = None) -> DataFrame:

@@ -81,7 +81,7 @@ def index_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {NODES} SELECT '{{\"path\":\"' || name || '\",\"is_leaf\":' || is_leaf || '}}' AS value FROM n WHERE regexp_full_match(name, 'app\\.[^.]*\\.u1[^.]*')")
 def metrics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.metrics_json(render.find(nodes(spark, sf_dir), "app.*.u1*", NOW))
+    return formats.metrics_json(render.find(nodes(spark, sf_dir), "app.*.u1*", NOW, max_series=None))
 
 
 @query(f"WITH {NODES} SELECT name FROM n WHERE regexp_full_match(name, 'app\\.(click|view)\\.[^.]*9')")
