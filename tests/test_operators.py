@@ -374,7 +374,7 @@ def test_trial_of_random_series(frame):
     assert (none.series, none.points, none.values, none.names) == (0, 0, 0, [])
 
 
-@pytest.mark.parametrize("name", ["metrics_json"])
+@pytest.mark.parametrize("name", ["metrics_json", "render_no_archive"])
 def test_queries_answer_more_matches_than_a_request_may(spark, tmp_path, name):
     import __spark_entry__ as entry
 
