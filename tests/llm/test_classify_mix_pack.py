@@ -33,6 +33,21 @@ def test_cached_ids_dont_depend_on_what_came_before(order):
         assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_met_within_a_generation_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_LATE", 3)
+    own, runs = tokens.Encoder(PATH), []
+    encode = own.tokenize
+    own.tokenize = lambda run: runs.append(run) or encode(run)
+    whole = own.tokenizer.encode
+    text = "Qaab qaac qaad qaae qaaf qaac qaae qaad"
+    assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == whole(text, add_special_tokens=False).ids
+    assert sorted(runs) == sorted(["Qaab", *(f"Ġqaa{c}" for c in "cdef")])
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 0)  # nothing is kept for good: what is met again moves to the next generation
+    for text in ODD + ["Qaag qaah, qaag\nQaah qaai. qaah, qaaj qaak. qaah, ñaé. Ñaé ñaé"] * 3:
+        assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == whole(text, add_special_tokens=False).ids, repr(text)
+    assert len(own.late) <= 3 and len(own.older) <= 4
+
+
 def plain_ids(rows):
     own = tokens.Encoder(PATH).tokenizer
     return [np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for _, t in rows]

@@ -37,6 +37,10 @@ END_ID = 2
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
 DIGEST = 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Factors by which the hash of 1, 2, 4 and 8 ids is moved past as many ids.
+_STEPS = [(1 << k, np.uint64(pow(int(_BASE), 1 << k, 1 << 64))) for k in range(WINDOW.bit_length() - 1)]
+#: A cut may come after a window whose mixed hash is below this.
+_BELOW = np.uint64(1 << 64 - (MEAN - 1).bit_length())
 
 
 def _digest(data: bytes) -> bytes:
@@ -65,18 +69,16 @@ def cut_points(ids: np.ndarray) -> list[int]:
     n = len(ids)
     if n <= LEAST:
         return [n]
-    h, base = _values()[ids & 0xFFFF], _BASE
-    for span in (1, 2, 4, 8):  # h[i] covers ids i-2*span+1 .. i; the first ones are shorter and not used
-        wide = h.copy()
-        wide[span:] += h[:-span] * base
-        h, base = wide, np.uint64(int(base) ** 2 % (1 << 64))
-    marks = np.flatnonzero((h ^ (h >> np.uint64(29))) * _BASE >> np.uint64(64 - (MEAN - 1).bit_length()) == 0) + 1
+    h = _values()[ids & 0xFFFF]
+    for span, base in _STEPS:  # h[i] covers ids i .. i+2*span-1
+        h = h[:-span] * base + h[span:]
+    marks = np.flatnonzero((h ^ (h >> np.uint64(29))) * _BASE < _BELOW) + WINDOW
     ends, start = [], 0
     for m in marks.tolist():
         while m - start > MOST:
             start += MOST
             ends.append(start)
-        if m - start >= LEAST and m >= WINDOW:
+        if m - start >= LEAST:
             start = m
             ends.append(m)
     while n - start > MOST:

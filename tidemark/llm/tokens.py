@@ -5,6 +5,7 @@ stands before. So a text is cut before each such space and its words are looked
 of Latin letters, the marks after them and line ends by the tokenizer's model (each is one pre-token), all others by the whole
 tokenizer. A text with white space before a space, or with ``<|`` (which may begin a special token), is encoded in one
 piece, as is every text if the tokenizer is of another kind. The cache is bounded; beyond the bound, words are encoded anew.
+Words seen once are kept in two generations, so that only those not met for a whole generation are forgotten.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a worker process keeps for good, once they have been seen twice, and words seen once lately: some 200 bytes each.
-CACHE_WORDS, CACHE_LATE = 500_000, 150_000
+#: Words that a worker process keeps for good, once they have been seen twice, and words seen once in each of two generations: some 200 bytes each.
+CACHE_WORDS, CACHE_LATE = 500_000, 250_000
 _WHOLE = re.compile(r"\s |<\|")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space other than a space and a line feed.
@@ -25,11 +26,12 @@ _ODD = tuple("\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u20
 
 
 @lru_cache(maxsize=1)
-def _shown() -> list[str]:
-    """The character by which byte-level BPE shows each byte: printable Latin-1 as itself, others from U+0100 on."""
+def _shown() -> dict[int, str]:
+    """For ``translate``: what byte-level BPE shows for each character below U+0250. Bytes of printable Latin-1 are shown as themselves, others from U+0100 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
-    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+    shown = [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+    return {c: "".join([shown[b] for b in chr(c).encode()]) for c in range(0x250)}
 
 
 class Encoder:
@@ -48,6 +50,7 @@ class Encoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.late: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
@@ -60,24 +63,32 @@ class Encoder:
 
     def _letters(self, lead: str, body: str) -> bytes:
         if not body.isascii():
-            shown = _shown()
-            body = "".join([shown[b] for b in body.encode()])
+            body = body.translate(_shown())
         return self._run(lead + body)
 
+    def _keep(self, key: str, ids: bytes) -> None:
+        self.late[key] = ids
+        if len(self.late) > CACHE_LATE:
+            self.late, self.older = {}, self.late
+
     def _new(self, word: str, lead: str = "Ġ") -> bytes:
         """Ids of ``lead`` (a space, shown as Ġ, or nothing) and ``word``."""
-        late, known = self.late, self.known
+        late, older, known = self.late, self.older, self.known
         key = word if lead else " " + word  # no word holds a space
-        if (ids := late.get(key)) is not None:
+        if ids := late.get(key) or older.get(key):
             if len(known) < CACHE_WORDS:
                 known[key] = ids
+            elif key not in late:
+                self._keep(key, ids)
             return ids
         if word.isalpha() and (word.isascii() or max(word) <= "ɏ"):
             ids = self._letters(lead, word)
         elif (body := word.rstrip(_MARKS)).isalpha() and (body.isascii() or max(body) <= "ɏ"):
             own, mark = body if lead else " " + body, word[len(body) :]
-            if (ids := known.get(own) or late.get(own)) is None:
-                ids = late[own] = self._letters(lead, body)
+            if (ids := known.get(own) or late.get(own) or older.get(own)) is None:
+                ids = self._letters(lead, body)
+                if len(own) < 40:
+                    self._keep(own, ids)
             if (after := self.marks.get(mark)) is None:
                 after = self._run(mark)
                 if len(self.marks) < 10_000:
@@ -88,9 +99,7 @@ class Encoder:
         else:
             ids = self.whole((" " if lead else "") + word)
         if len(word) < 40:
-            late[key] = ids
-            if len(late) > CACHE_LATE:
-                late.clear()
+            self._keep(key, ids)
         return ids
 
     def _mark_line(self) -> bytes:
@@ -115,7 +124,7 @@ class Encoder:
             got = list(map(get, rest))
             if None in got:
                 got = [new(w) if x is None else x for x, w in zip(got, rest, strict=True)]
-            out.append((self.whole(first) if first else b"") + b"".join(got))
+            out.append((self._word(first, "") if first else b"") + b"".join(got))
         return out
 
 
